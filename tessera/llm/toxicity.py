@@ -26,23 +26,33 @@ MAX_FIT_ROWS = 8_000
 THRESHOLD = 0.3
 #: Common insults, a voter of their own.
 SEEDS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "pathetic", "worthless", "disgusting", "clown")
-MOST_VOTERS = 60
+MOST_VOTERS = 120
 MOST_FEATURES = 3_000
+#: Slack of the significance bound 2 ln(features tried), in units of the likelihood ratio.
+SLACK = 0.0
 MEMO = 300_000
+ANY = "*"
+LETTERS = (3, 4, 5, 6, 7)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def features(chunk: str) -> list[str]:
-    """Features of a run without white space: its words, and their first 4, 5 and 6 letters (marked ^)."""
-    out = []
-    for w in _WORD.findall(chunk.lower()):
-        out.append(w)
-        out += ["^" + w[:n] for n in (4, 5, 6) if len(w) >= n]
-    return out
+def words_of(chunk: str) -> list[str]:
+    return _WORD.findall(chunk.lower())
+
+
+def base_features(word: str) -> list[str]:
+    """A word and its first 3 to 7 letters (marked ^)."""
+    return [word, *["^" + word[:n] for n in LETTERS if len(word) >= n]]
+
 
+def feature_set(words: set[str]) -> set[str]:
+    """Features of a text's distinct words; a beginning that two or three words share counts again (#2, #3)."""
+    n = Counter(f for w in words for f in base_features(w))
+    return {*n, *[f"{f}#2" for f, k in n.items() if k > 1], *[f"{f}#3" for f, k in n.items() if k > 2]}
 
-def feature_set(text: str | None) -> set[str]:
-    return {f for c in set((text or "").split()) for f in features(c)}
+
+def all_words(text: str | None) -> set[str]:
+    return {w for c in set((text or "").split()) for w in words_of(c)}
 
 
 @dataclass
@@ -74,7 +84,7 @@ def fit_labels(votes: np.ndarray, start: np.ndarray, rounds: int = 25) -> LabelM
             sd = rest.std(0) + 1e-9
             cor = np.abs((rest.T @ rest) / n / sd[:, None] / sd[None, :])
             np.fill_diagonal(cor, 0)
-            weight = 1 / (1 + np.where(cor > 0.3, cor, 0).sum(0))
+            weight = 1 / (1 + np.where(cor > 0.3, cor - 0.3, 0).sum(0))
         model = LabelModel(float(np.clip(p.mean(), 1e-3, 0.999)), np.clip(hit, 1e-4, 1 - 1e-4), np.clip(false, 1e-5, 1 - 1e-4), weight)
         p = model.posterior(votes)
     return model
@@ -88,29 +98,43 @@ def mine(sets: list[set[str]], y: np.ndarray) -> list[str]:
         every.update(s)
         if label:
             pos.update(s)
-    limit = 2 * math.log(max(len(every), 2)) + 2
-    out = []
+    limit = 2 * math.log(max(len(every), 2)) + SLACK
+    scored = []
     for f, a in pos.items():
         n = every[f]
-        if a / n < 3 * rate and a / n < 0.7:
+        if a / n <= 1.5 * rate:
             continue
         b = n - a
         g = 2 * (a * math.log(a / (n * rate)) + (b * math.log(b / (n * (1 - rate))) if b else 0))
         if g > limit:
-            out.append((-g, f))
-    return [f for _, f in sorted(out)]
+            scored.append((-g, -len(f), f))
+    out, stems = [], set()
+    for _, _, f in sorted(scored):  # of nested beginnings the one that tells most, of equal ones the longest
+        stem = f.strip("^").partition("#")[0]
+        if not any(stem.startswith(s) or s.startswith(stem) for s in stems):
+            out.append(f)
+            stems.add(stem)
+        elif "#" in f and f"^{stem}" in out:
+            out.append(f)
+    return out
 
 
 @dataclass
 class Model:
+    """Weights by feature; ANY stands for texts with some feature of `strong`."""
+
     weights: dict[str, float]
     bias: float
+    strong: frozenset[str] = frozenset()
 
-    def score(self, found: set[str]) -> float:
-        return 1 / (1 + math.exp(-max(-40.0, min(40.0, self.bias + sum(self.weights[f] for f in sorted(found))))))
+    def score(self, words: set[str]) -> float:
+        """Chance of label 1; words without a known feature change nothing."""
+        found = feature_set(words)
+        z = self.bias + sum(sorted(self.weights[f] for f in found if f in self.weights)) + (0.0 if self.strong.isdisjoint(found) else self.weights.get(ANY, 0.0))
+        return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
-def _logistic(rows: list[np.ndarray], n: int, target: np.ndarray, rounds: int = 400, rate: float = 1.0, l1: float = 2e-4, l2: float = 1e-5) -> tuple[np.ndarray, float]:
+def _logistic(rows: list[np.ndarray], n: int, target: np.ndarray, rounds: int = 800, rate: float = 1.0, l1: float = 1e-5, l2: float = 1e-6) -> tuple[np.ndarray, float]:
     """Sparse logistic regression on soft targets: proximal gradient with momentum over binary features."""
     doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     feat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
@@ -140,34 +164,34 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([" ".join(sorted(set((t or "").lower().split()))) for t in b.column(2).to_pylist()], pa.string())], names=["id", "y", "words"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([" ".join(sorted(all_words(t))) for t in b.column(2).to_pylist()], pa.string())], names=["id", "y", "words"])
 
     ship(docs.sparkSession)
     kind = docs.select(key).schema[0].dataType.simpleString()
     rows = sorted(got.select(key, "__y", "__t").mapInArrow(run, f"id {kind}, y int, words string").collect())
-    return learn([feature_set(r["words"]) for r in rows], np.array([r["y"] for r in rows], float))
+    return learn([feature_set(set(r["words"].split())) for r in rows], np.array([r["y"] for r in rows], float))
 
 
 def learn(sets: list[set[str]], y: np.ndarray) -> Model:
     if not len(y) or y.sum() == 0:
-        return Model({s: 4.0 for s in SEEDS}, -3.0)
-    lexicon = mine(sets, y)
+        return Model({s: 1.0 for s in SEEDS} | {ANY: 3.0}, -3.0, frozenset(SEEDS))
+    lexicon = mine(sets, y)[:MOST_FEATURES]
     top = lexicon[:MOST_VOTERS]
-    seeds, words_top, stems_top = set(SEEDS), {f for f in top if f[0] != "^"}, {f for f in top if f[0] == "^"}
+    seeds, mined = set(SEEDS), set(top)
     voters = [
         *[(lambda s, f=f: f in s) for f in top],
         lambda s: bool(seeds & s),
-        lambda s: len(words_top & s) >= 2,
-        lambda s: len(stems_top & s) >= 3,
-        lambda s: bool(words_top & s) and bool({"you", "is", "are", "est", "ist", "es"} & s),
-        lambda s: not (words_top & s or stems_top & s or seeds & s),
+        lambda s: len(mined & s) >= 2,
+        lambda s: bool(mined & s) and bool({"you", "is", "are", "est", "ist", "es"} & s),
     ]
-    votes = np.array([[bool(v(s)) for v in voters] for s in sets], float)
+    votes = np.array([[*[bool(v(s)) for v in voters], label > 0] for s, label in zip(sets, y, strict=True)], float)  # the last voter: the annotator
     target = fit_labels(votes, np.where(y > 0, 0.95, 0.02)).posterior(votes)
-    names = list(dict.fromkeys([*lexicon[:MOST_FEATURES], *SEEDS]))
-    index = {f: i for i, f in enumerate(names)}
-    w, bias = _logistic([np.array(sorted(index[f] for f in s if f in index), np.int64) for s in sets], len(names), target)
-    return Model({f: float(w[i]) for f, i in index.items() if w[i]}, bias)
+    seen, hits = Counter(f for s in sets for f in s & mined), Counter(f for s, label in zip(sets, y, strict=True) if label for f in s & mined)
+    strong = frozenset([*(f for f in top if hits[f] >= 0.9 * seen[f] and hits[f] >= 4), *SEEDS])
+    index = {f: i for i, f in enumerate(dict.fromkeys([ANY, *lexicon, *SEEDS]))}
+    rows = [np.array(sorted([*(index[f] for f in s if f in index), *[0] * (not strong.isdisjoint(s))]), np.int64) for s in sets]
+    w, bias = _logistic(rows, len(index), target)
+    return Model({f: float(w[i]) for f, i in index.items() if w[i]}, bias, strong)
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", to: str = "score") -> DataFrame:
@@ -177,19 +201,17 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, memo = model.weights, {}
-        none: tuple = ()
+        known, memo = {f.partition("#")[0] for f in (*model.weights, *model.strong)}, {}
         for b in batches:
             out = []
             for t in b.column(at).to_pylist():
-                chunks = set((t or "").split())
                 found: set[str] = set()
-                for c in chunks:
+                for c in set((t or "").split()):
                     hit = memo.get(c)
                     if hit is None:
                         if len(memo) > MEMO:
                             memo.clear()
-                        hit = tuple(f for f in features(c) if f in weights) or none
+                        hit = tuple(w for w in words_of(c) if not known.isdisjoint(base_features(w)))
                         if len(c) < 64:
                             memo[c] = hit
                     if hit:
