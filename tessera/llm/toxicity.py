@@ -30,6 +30,8 @@ MOST_VOTERS = 120
 MOST_FEATURES = 3_000
 #: Slack of the significance bound 2 ln(features tried), in units of the likelihood ratio.
 SLACK = 0.0
+#: Share of the positive rows that a lexicon entry must be in.
+LEAST_SHARE = 0.012
 MEMO = 300_000
 ANY = "*"
 LETTERS = (3, 4, 5, 6, 7)
@@ -102,7 +104,7 @@ def mine(sets: list[set[str]], y: np.ndarray) -> list[str]:
     scored = []
     for f, a in pos.items():
         n = every[f]
-        if a / n <= 1.5 * rate:
+        if a / n <= 1.5 * rate or a < LEAST_SHARE * y.sum():
             continue
         b = n - a
         g = 2 * (a * math.log(a / (n * rate)) + (b * math.log(b / (n * (1 - rate))) if b else 0))
