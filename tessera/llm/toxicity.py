@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,10 +23,12 @@ from pyspark.sql import functions as F
 from tessera.session import ship
 
 #: At most so many labelled rows are fitted on (those with the least hash of their id). A documented bound.
-MAX_FIT_ROWS = 8_000
+MAX_FIT_ROWS = 6_000
 THRESHOLD = 0.3
 #: Common insults, a voter of their own.
 SEEDS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "pathetic", "worthless", "disgusting", "clown")
+#: Words of address, for the pattern voter.
+COPULAS = ("you", "is", "are", "est", "ist", "es")
 MOST_VOTERS = 120
 MOST_FEATURES = 3_000
 #: Slack of the significance bound 2 ln(features tried), in units of the likelihood ratio.
@@ -92,19 +95,42 @@ def fit_labels(votes: np.ndarray, start: np.ndarray, rounds: int = 25) -> LabelM
     return model
 
 
-def mine(sets: list[set[str]], y: np.ndarray) -> list[str]:
-    """Features that stand for label 1 beyond chance over all features tried (likelihood-ratio test), best first."""
+def _apart(texts: list[str], y: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """One row of each group of near copies with one label: rows whose four least word hashes agree.
+
+    A toxic text that was copied often would else make all its words stand out.
+    """
+    seen, keep = set(), []
+    for i, t in enumerate(texts):
+        mark = (y[i], *sorted({zlib.crc32(w.encode()) for w in t.split()})[:4])
+        if mark not in seen:
+            seen.add(mark)
+            keep.append(i)
+    return [texts[i] for i in keep], y[keep]
+
+
+def mine(texts: list[str], y: np.ndarray) -> list[str]:
+    """Features that stand for label 1 beyond chance over all features tried (likelihood-ratio test), best first.
+
+    texts: the distinct words of each, joined by blanks. Features are counted in the positive texts first; the others are read for
+    those alone that a share of the positive texts has, so memory follows that share.
+    """
     rate = float(np.clip(y.mean(), 1e-4, 1 - 1e-4)) if len(y) else 0.5
-    every, pos = Counter(), Counter()
-    for s, label in zip(sets, y, strict=True):
-        every.update(s)
+    pos: Counter = Counter()
+    for t, label in zip(texts, y, strict=True):
         if label:
-            pos.update(s)
-    limit = 2 * math.log(max(len(every), 2)) + SLACK
+            pos.update(feature_set(set(t.split())))
+    tried = len(pos)
+    pos = Counter({f: a for f, a in pos.items() if a >= max(3, LEAST_SHARE * y.sum())})
+    every = Counter(pos)
+    for t, label in zip(texts, y, strict=True):
+        if not label:
+            every.update(f for f in feature_set(set(t.split())) if f in pos)
+    limit = 2 * math.log(max(tried, 2)) + SLACK
     scored = []
     for f, a in pos.items():
         n = every[f]
-        if a / n <= 1.5 * rate or a < LEAST_SHARE * y.sum():
+        if a / n <= 1.5 * rate:
             continue
         b = n - a
         g = 2 * (a * math.log(a / (n * rate)) + (b * math.log(b / (n * (1 - rate))) if b else 0))
@@ -171,20 +197,23 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     ship(docs.sparkSession)
     kind = docs.select(key).schema[0].dataType.simpleString()
     rows = sorted(got.select(key, "__y", "__t").mapInArrow(run, f"id {kind}, y int, words string").collect())
-    return learn([feature_set(set(r["words"].split())) for r in rows], np.array([r["y"] for r in rows], float))
+    return learn([r["words"] for r in rows], np.array([r["y"] for r in rows], float))
 
 
-def learn(sets: list[set[str]], y: np.ndarray) -> Model:
+def learn(texts: list[str], y: np.ndarray) -> Model:
+    """The model from the distinct words of each text (joined by blanks) and labels 0 or 1."""
+    texts, y = _apart(texts, y)
     if not len(y) or y.sum() == 0:
         return Model({s: 1.0 for s in SEEDS} | {ANY: 3.0}, -3.0, frozenset(SEEDS))
-    lexicon = mine(sets, y)[:MOST_FEATURES]
-    top = lexicon[:MOST_VOTERS]
-    seeds, mined = set(SEEDS), set(top)
+    lexicon = mine(texts, y)[:MOST_FEATURES]
+    top, told = lexicon[:MOST_VOTERS], {*lexicon, *SEEDS, *COPULAS}
+    sets = [feature_set(set(t.split())) & told for t in texts]
+    seeds, mined, copulas = set(SEEDS), set(top), set(COPULAS)
     voters = [
         *[(lambda s, f=f: f in s) for f in top],
         lambda s: bool(seeds & s),
         lambda s: len(mined & s) >= 2,
-        lambda s: bool(mined & s) and bool({"you", "is", "are", "est", "ist", "es"} & s),
+        lambda s: bool(mined & s) and bool(copulas & s),
     ]
     votes = np.array([[*[bool(v(s)) for v in voters], label > 0] for s, label in zip(sets, y, strict=True)], float)  # the last voter: the annotator
     target = fit_labels(votes, np.where(y > 0, 0.95, 0.02)).posterior(votes)
