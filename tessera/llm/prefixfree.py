@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -158,7 +159,7 @@ def _message(rows: list[tuple]) -> pa.Table:
 
 def _load(t: pa.Table, buckets: int, width: int) -> tuple[Parse, pa.Array]:
     key = t.column("key").combine_chunks()
-    order = np.asarray(pa.compute.sort_indices(pa.table({"k": key}), sort_keys=[("k", "ascending")], null_placement="at_start"))
+    order = np.asarray(pc.sort_indices(pa.table({"k": key}), sort_keys=[("k", "ascending")], null_placement="at_start"))
     t = t.take(pa.array(order))
     key, data = t.column("key").combine_chunks(), t.column("data").combine_chunks().cast(pa.large_binary())
     offsets = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]
