@@ -22,7 +22,8 @@ from tessera.session import ship, written
 
 SIZE = 4096
 END = 2
-MEMO = 250_000
+#: Runs that a worker keeps at most, before the next megabyte of texts.
+MEMO = 700_000
 MOST_PATTERNS = 24_000
 PIECES = "uid long, part int, lrank long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 _LOADED: dict = {}
@@ -40,35 +41,73 @@ def tokenizer(path: str):
 class Encoder:
     """Ids of a text as little-endian 16- or 32-bit words.
 
-    The vocabulary drops white space and never joins across it, so runs between blanks and line feeds are
-    encoded once and kept (at most MEMO of them, short ones alone).
+    The vocabulary drops white space and never joins across it, so runs between blanks and line feeds are encoded once
+    and kept, in a table that all tasks of a Python worker share. Runs of letters are lower-cased (ASCII alone), freed
+    of one closing mark, and encoded many at a time: each is one word of the tokenizer, whose word numbers split the ids.
     """
 
+    _shared: dict = {}
+
     def __init__(self, path: str):
-        self.tok, self.memo = tokenizer(path), {"": b""}
+        self.tok = tokenizer(path)
+        self.memo = self._shared.setdefault(path, {"": b""})
         self.kind = "<u2" if self.tok.get_vocab_size(True) <= 1 << 16 else "<u4"
 
-    def _new(self, chunks: list[str]) -> None:
-        if len(self.memo) > MEMO:
-            self.memo = {"": b""}
-        for c, e in zip(chunks, self.tok.encode_batch(chunks, add_special_tokens=False), strict=True):
+    def _encode(self, cores: list[str]) -> None:
+        plain = [c for c in cores if c.isalpha()]
+        rest = [c for c in cores if not c.isalpha()]
+        for i in range(0, len(plain), 2000):
+            part = plain[i : i + 2000]
+            e = self.tok.encode(" ".join(part), add_special_tokens=False)
+            ids, word = np.array(e.ids, self.kind), np.array(e.word_ids, np.int64)
+            if not len(word) or word[-1] + 1 != len(part) or (np.diff(word) < 0).any():
+                rest += part
+                continue
+            raw, w = ids.tobytes(), ids.itemsize
+            cut = (np.searchsorted(word, np.arange(len(part) + 1)) * w).tolist()
+            for c, x, y in zip(part, cut[:-1], cut[1:], strict=True):
+                self.memo[c] = raw[x:y]
+        for c, e in zip(rest, self.tok.encode_batch(rest, add_special_tokens=False), strict=True):
             self.memo[c] = np.array(e.ids, self.kind).tobytes()
 
+    def _learn(self, chunks: set[str]) -> None:
+        memo = self.memo
+        if len(memo) > MEMO:  # long words come back least
+            short = {c: v for c, v in memo.items() if len(c) <= 9}
+            memo.clear()
+            memo.update(short if len(short) < MEMO // 2 else {"": b""})
+        new = [c for c in chunks if c not in memo]
+        cut = {}
+        for c in new:
+            end = c[-1] if c[-1] in ".," and c[:-1].isalpha() else ""
+            core = c[: len(c) - len(end)]
+            cut[c] = (core.lower() if core.isascii() and core.isalpha() else core, end)
+        self._encode([c for c in {x for pair in cut.values() for x in pair} if c not in memo])
+        for c, (core, end) in cut.items():
+            memo[c] = memo[core] + memo[end]
+        for core, _ in cut.values():
+            if len(core) > 48 and core not in cut:
+                memo.pop(core, None)
+
     def many(self, texts: list[str | None]) -> Iterator[bytes]:
-        for t in texts:
-            chunks = (t or "").replace("\n", " ").split(" ")
-            try:
-                yield b"".join([self.memo[c] for c in chunks])
-            except KeyError:
-                new = list({c for c in chunks if c not in self.memo})
-                kept = self.memo
-                self._new(new)
-                if self.memo is not kept:  # cleared meanwhile
-                    self._new(list({c for c in chunks if c not in self.memo}))
-                yield b"".join([self.memo[c] for c in chunks])
-                for c in new:
-                    if len(c) > 48:
-                        del self.memo[c]
+        """Ids of each text. Unknown runs are learnt for about a megabyte of texts at once."""
+        memo = self.memo
+        at = 0
+        while at < len(texts):
+            group, size = [], 0
+            while at < len(texts) and size < 1 << 20:
+                t = (texts[at] or "").replace("\n", " ")
+                group.append(t.split(" "))
+                size += len(t)
+                at += 1
+            need = set().union(*group).difference(memo)
+            if need:
+                self._learn({c for g in group for c in g} if len(memo) > MEMO else need)
+            for g in group:
+                yield b"".join([memo[c] for c in g])
+            for c in need:
+                if len(c) > 48:
+                    del memo[c]
 
 
 def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", size: int = SIZE, end: int = END) -> DataFrame:
