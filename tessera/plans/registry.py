@@ -1,4 +1,8 @@
 """All registered queries of the engine itself."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from tessera.plans import engine, relational
+
+QUERIES = relational.QUERIES | engine.QUERIES
+ORACLE = relational.ORACLE | engine.ORACLE

@@ -52,6 +52,7 @@ class Session:
         self.spark = self.spark.newSession()
 
     def register(self, name: str, df: DataFrame) -> None:
+        """df as the table's version; it must belong to this session (session.spark)."""
         self.tables[name.lower()] = df
         df.createOrReplaceTempView(name)
 
