@@ -43,50 +43,61 @@ class Encoder:
 
     The vocabulary drops white space and never joins across it, so runs between blanks and line feeds are encoded once
     and kept, in a table that all tasks of a Python worker share. Runs of letters are lower-cased (ASCII alone), freed
-    of one closing mark, and encoded many at a time: each is one word of the tokenizer, whose word numbers split the ids.
+    of one closing mark, and encoded many at a time: each is one word of the tokenizer, closed by a </w> piece.
     """
 
     _shared: dict = {}
 
     def __init__(self, path: str):
         self.tok = tokenizer(path)
-        self.memo = self._shared.setdefault(path, {"": b""})
-        self.kind = "<u2" if self.tok.get_vocab_size(True) <= 1 << 16 else "<u4"
-
-    def _encode(self, cores: list[str]) -> None:
-        plain = [c for c in cores if c.isalpha()]
-        rest = [c for c in cores if not c.isalpha()]
+        vocab = self.tok.get_vocab(True)
+        self.kind = "<u2" if len(vocab) <= 1 << 16 else "<u4"
+        self.closes = np.zeros(max(vocab.values()) + 1, bool)
+        self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.marks = {m: self._ids(self.tok.encode(m, add_special_tokens=False)) for m in ("", ".", ",")}
+        self.memo = self._shared.setdefault(path, dict(self.marks))
+
+    def _ids(self, e) -> bytes:
+        return np.array(e.ids, self.kind).tobytes()
+
+    def _encode(self, plain: list[str], rest: list[str]) -> None:
+        """Keeps the ids of runs of letters (plain) and of any other runs (rest)."""
         for i in range(0, len(plain), 2000):
             part = plain[i : i + 2000]
-            e = self.tok.encode(" ".join(part), add_special_tokens=False)
-            ids, word = np.array(e.ids, self.kind), np.array(e.word_ids, np.int64)
-            if not len(word) or word[-1] + 1 != len(part) or (np.diff(word) < 0).any():
-                rest += part
+            ids = np.array(self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.kind)
+            stop = np.flatnonzero(self.closes[ids]) + 1
+            if len(stop) != len(part) or stop[-1] != len(ids):
+                rest = rest + part
                 continue
-            raw, w = ids.tobytes(), ids.itemsize
-            cut = (np.searchsorted(word, np.arange(len(part) + 1)) * w).tolist()
-            for c, x, y in zip(part, cut[:-1], cut[1:], strict=True):
-                self.memo[c] = raw[x:y]
-        for c, e in zip(rest, self.tok.encode_batch(rest, add_special_tokens=False), strict=True):
-            self.memo[c] = np.array(e.ids, self.kind).tobytes()
+            stop = (stop * ids.itemsize).tolist()
+            self.memo.update(zip(part, map(ids.tobytes().__getitem__, map(slice, [0, *stop[:-1]], stop)), strict=True))
+        self.memo.update(zip(rest, map(self._ids, self.tok.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
 
     def _learn(self, chunks: set[str]) -> None:
         memo = self.memo
         if len(memo) > MEMO:  # long words come back least
             short = {c: v for c, v in memo.items() if len(c) <= 9}
             memo.clear()
-            memo.update(short if len(short) < MEMO // 2 else {"": b""})
-        new = [c for c in chunks if c not in memo]
-        cut = {}
-        for c in new:
-            end = c[-1] if c[-1] in ".," and c[:-1].isalpha() else ""
-            core = c[: len(c) - len(end)]
-            cut[c] = (core.lower() if core.isascii() and core.isalpha() else core, end)
-        self._encode([c for c in {x for pair in cut.values() for x in pair} if c not in memo])
-        for c, (core, end) in cut.items():
-            memo[c] = memo[core] + memo[end]
-        for core, _ in cut.values():
-            if len(core) > 48 and core not in cut:
+            memo.update(short if len(short) < MEMO // 2 else self.marks)
+        plain, rest, cut = set(), [], []
+        for c in chunks:
+            if c in memo:
+                continue
+            core, end = c, ""
+            if not c.isalpha():
+                core, end = c[:-1], c[-1]
+                if end not in self.marks or not core.isalpha():
+                    rest.append(c)
+                    continue
+            if core.isascii():
+                core = core.lower()
+            plain.add(core)
+            if core != c:
+                cut.append((c, core, end))
+        self._encode(list(plain.difference(memo)), rest)
+        memo.update([(c, memo[core] + self.marks[end]) for c, core, end in cut])
+        for _, core, _ in cut:
+            if len(core) > 48 and core not in chunks:
                 memo.pop(core, None)
 
     def many(self, texts: list[str | None]) -> Iterator[bytes]:
@@ -104,7 +115,7 @@ class Encoder:
             if need:
                 self._learn({c for g in group for c in g} if len(memo) > MEMO else need)
             for g in group:
-                yield b"".join([memo[c] for c in g])
+                yield b"".join(map(memo.__getitem__, g))
             for c in need:
                 if len(c) > 48:
                     del memo[c]
