@@ -20,7 +20,7 @@ from tessera.session import ship, written
 WINDOW = 10
 SHARD_BYTES = 4 << 20
 #: Test items are sent to all tasks in blocks of at most this many bytes of text; more blocks mean more passes.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 _WORDS = bytes(32 if c < 48 or 58 <= c < 65 or 91 <= c < 97 or 123 <= c < 128 else c + 32 if 65 <= c < 91 else c for c in range(256))
 INDEX = "shard long, keys binary, nulls binary, sizes binary, counts array<int>, terms binary, positions binary"
 
@@ -32,71 +32,85 @@ def words(text: str | None) -> list[bytes]:
 
 @dataclass
 class Items:
-    """Windows of a block of test items over term numbers."""
+    """Distinct windows of a block of test items over term numbers, as arrays."""
 
     terms: dict[bytes, int]
-    windows: list[tuple[int, ...]]
-    owners: list[list[int]]  # items of each window
-    ids: list
+    grid: np.ndarray  # a row a window: its terms, then -1 where the item is shorter
+    edge: np.ndarray  # owner[edge[w] : edge[w + 1]]: items of window w
+    owner: np.ndarray
+    ids: list  # distinct item ids
 
 
 def items_of(rows: list[tuple], width: int = WINDOW) -> Items:
     terms: dict[bytes, int] = {}
-    at: dict[tuple[int, ...], set[int]] = {}
-    ids = []
+    ids: dict = {}
+    grids, owners = [np.zeros((0, width), np.int32)], [np.zeros(0, np.int64)]
     for item, text in rows:
-        t = [terms.setdefault(w, len(terms)) for w in words(text)]
-        ids.append(item)
-        for i in range(max(1, len(t) - width + 1)):
-            if t:
-                at.setdefault(tuple(t[i : i + width]), set()).add(len(ids) - 1)
-    return Items(terms, list(at), [sorted(v) for v in at.values()], ids)
-
-
-def shard(texts: list[str | None], terms: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Document sizes, posting counts by term, and positions by term; documents are one position apart."""
-    sizes, got, get = [], [], terms.get
+        t = np.array([terms.setdefault(w, len(terms)) for w in words(text)], np.int32)
+        number = ids.setdefault(item, len(ids))
+        if len(t):
+            grids.append(np.lib.stride_tricks.sliding_window_view(np.pad(t, (0, max(0, width - len(t))), constant_values=-1), width))
+            owners.append(np.full(len(grids[-1]), number))
+    grid, owner = np.concatenate(grids), np.concatenate(owners)
+    if not len(grid):
+        return Items(terms, grid, np.zeros(1, np.int64), owner, list(ids))
+    grid, window = np.unique(grid, axis=0, return_inverse=True)
+    pairs = np.unique(np.stack([window.ravel(), owner], 1), axis=0)
+    return Items(terms, grid, np.searchsorted(pairs[:, 0], np.arange(len(grid) + 1)), pairs[:, 1], list(ids))
+
+
+def spacing(slop: int) -> int:
+    """Empty positions between documents: some term of a match across them would have no position within the slop."""
+    return 2 * slop + 1
+
+
+def shard(texts: list[str | None], terms: dict[bytes, int], slop: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document sizes, posting counts by term, and positions by term."""
+    sizes, got, get, space = [], [], terms.get, [-1] * spacing(slop)
     for t in texts:
         w = words(t)
         sizes.append(len(w))
         got += [get(x, -1) for x in w]
-        got.append(-1)
+        got += space
     tok = np.array(got, np.int32)
     pos = np.flatnonzero(tok >= 0)
     order = np.argsort(tok[pos], kind="stable")
-    return np.array(sizes, np.int64), np.bincount(tok[pos], minlength=len(terms)).astype(np.int64), pos[order].astype(np.int64), tok
+    return np.array(sizes, np.int64), np.bincount(tok[pos], minlength=len(terms)).astype(np.int64), pos[order].astype(np.int64)
 
 
-def match(items: Items, counts: np.ndarray, positions: np.ndarray, rarity: np.ndarray, slop: int = 0) -> Iterator[tuple[int, np.ndarray]]:
-    """(window, start positions) for each window that occurs: every term at its offset, give or take slop."""
+def match(items: Items, counts: np.ndarray, positions: np.ndarray, rarity: np.ndarray, slop: int = 0) -> Iterator[tuple[int, int, np.ndarray, int]]:
+    """(window, its size, start positions, offset of its rarest term) for each window that occurs: every term at its
+    offset, give or take slop."""
     edge = np.r_[0, np.cumsum(counts)]
-    for w, ts in enumerate(items.windows):
-        order = sorted(range(len(ts)), key=lambda i: (rarity[ts[i]], i))
-        if not all(counts[t] for t in ts):
-            continue
-        first = order[0]
+    here = np.flatnonzero(np.r_[counts > 0, True][items.grid].all(1))  # -1 takes the last, which is there
+    grid = items.grid[here]
+    order = np.argsort(np.r_[rarity, np.iinfo(np.int64).max][grid], axis=1, kind="stable")
+    for w, ts, by in zip(here.tolist(), grid.tolist(), order.tolist(), strict=True):
+        n = len(ts) - ts.count(-1)
+        first = by[0]
         start = positions[edge[ts[first]] : edge[ts[first] + 1]] - first
-        for i in order[1:]:
+        for i in by[1:n]:
             p = positions[edge[ts[i]] : edge[ts[i] + 1]]
             start = start[np.searchsorted(p, start + i + slop, "right") > np.searchsorted(p, start + i - slop)]
             if not len(start):
                 break
         if len(start):
-            yield w, start
+            yield w, n, start, first
 
 
-def hits(items: Items, sizes: np.ndarray, counts: np.ndarray, positions: np.ndarray, rarity: np.ndarray, slop: int = 0) -> tuple[np.ndarray, list[set[int]]]:
-    """Mask of hit positions of a shard, and the items found in each document."""
-    total = int((sizes + 1).sum())
+def hits(items: Items, sizes: np.ndarray, counts: np.ndarray, positions: np.ndarray, rarity: np.ndarray, slop: int = 0) -> tuple[np.ndarray, list[list]]:
+    """Mask of hit positions of a shard, and the ids of the items found in each document."""
+    wide = sizes + spacing(slop)
+    total = int(wide.sum())
     delta = np.zeros(total + 1, np.int32)
-    begins = np.r_[0, np.cumsum(sizes + 1)[:-1]]
+    begins = np.cumsum(wide) - wide
     found: list[set[int]] = [set() for _ in sizes]
-    for w, start in match(items, counts, positions, rarity, slop):
+    for w, n, start, first in match(items, counts, positions, rarity, slop):
         np.add.at(delta, np.maximum(start, 0), 1)
-        np.add.at(delta, np.minimum(start + len(items.windows[w]), total), -1)
-        for d in np.unique(np.searchsorted(begins, start, "right") - 1):
-            found[max(d, 0)].update(items.owners[w])
-    return np.cumsum(delta)[:-1] > 0, found
+        np.add.at(delta, np.minimum(start + n, total), -1)
+        for d in np.unique(np.searchsorted(begins, start + first, "right") - 1):  # the rarest term lies in the document
+            found[d].update(items.owner[items.edge[w] : items.edge[w + 1]].tolist())
+    return np.cumsum(delta)[:-1] > 0, [[items.ids[i] for i in sorted(f)] for f in found]
 
 
 def blocks(benchmark: DataFrame, item: str, text: str, width: int) -> Iterator[Items]:
@@ -121,7 +135,7 @@ def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield at, len(texts)
 
 
-def build(docs: DataFrame, items: Items, key: str = "doc_id", text: str = "text") -> DataFrame:
+def build(docs: DataFrame, items: Items, key: str = "doc_id", text: str = "text", slop: int = 0) -> DataFrame:
     """INDEX rows, a shard each, written to the shared folder: document keys and sizes, postings by term."""
     from pyspark import TaskContext
 
@@ -133,7 +147,7 @@ def build(docs: DataFrame, items: Items, key: str = "doc_id", text: str = "text"
             ids, texts = b.column(0), b.column(1).to_pylist()
             for i, j in _slices(texts):
                 part = ids.slice(i, j - i)
-                sizes, counts, positions, _ = shard(texts[i:j], terms)
+                sizes, counts, positions = shard(texts[i:j], terms, slop)
                 steps = np.diff(positions, prepend=0).astype(np.int32)  # small where a term is common
                 used = np.flatnonzero(counts).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
@@ -166,8 +180,8 @@ def rarity(index: DataFrame, n_terms: int) -> np.ndarray:
 OUT = "key long, n_words long, n_hit long, items array<{kind}>, begin array<int>, stop array<int>"
 
 
-def _digest(keys: list, sizes: np.ndarray, mask: np.ndarray, found: list[list]) -> pa.RecordBatch:
-    begins = np.r_[0, np.cumsum(sizes + 1)[:-1]]
+def _digest(keys: list, sizes: np.ndarray, mask: np.ndarray, found: list[list], slop: int) -> pa.RecordBatch:
+    begins = np.cumsum(sizes + spacing(slop)) - sizes - spacing(slop)
     n_hit, begin, stop = [], [], []
     for a, n in zip(begins.tolist(), sizes.tolist(), strict=True):
         m = mask[a : a + n]
@@ -180,7 +194,7 @@ def _digest(keys: list, sizes: np.ndarray, mask: np.ndarray, found: list[list])
 
 
 def search(index: DataFrame, items: Items, slop: int = 0) -> DataFrame:
-    """key, n_words, n_hit, items (ids), begin and stop (word spans) for each indexed document."""
+    """key, n_words, n_hit, items (ids), begin and stop (word spans) for each document of an index built with this slop."""
     rare = rarity(index, len(items.terms))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +207,7 @@ def search(index: DataFrame, items: Items, slop: int = 0) -> DataFrame:
                 mask, found = hits(items, sizes, counts, positions, rare, slop)
                 null = np.unpackbits(np.frombuffer(r["nulls"], np.uint8), count=len(sizes))
                 keys = [None if z else k for k, z in zip(np.frombuffer(r["keys"], np.int64).tolist(), null, strict=True)]
-                yield _digest(keys, sizes, mask, [[items.ids[i] for i in sorted(f)] for f in found])
+                yield _digest(keys, sizes, mask, found, slop)
 
     return index.mapInArrow(run, OUT.format(kind="bigint"))
 
@@ -209,12 +223,12 @@ def _in_passes(docs: DataFrame, parts: list[Items], key: str, text: str, slop: i
                 mask, found = None, [[] for _ in range(j - i)]
                 for s in sent:
                     items = s.value
-                    sizes, counts, positions, _ = shard(texts[i:j], items.terms)
+                    sizes, counts, positions = shard(texts[i:j], items.terms, slop)
                     m, f = hits(items, sizes, counts, positions, counts, slop)
                     mask = m if mask is None else mask | m
                     for to, more in zip(found, f, strict=True):
-                        to += [items.ids[k] for k in sorted(more)]
-                yield _digest(keys[i:j], sizes, mask, found)
+                        to += more
+                yield _digest(keys[i:j], sizes, mask, [list(dict.fromkeys(f)) for f in found], slop)
 
     ship(docs.sparkSession)
     return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, OUT.format(kind="bigint"))
@@ -224,9 +238,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     """Per document row: key (long), n_words, n_hit, items (ids whose windows occur), begin and stop (hit word spans).
 
     A window is width consecutive item words; a shorter item, if not empty, is one window. Null text has no words.
-    slop > 0 gives proximity matches: each term may stand up to slop words off its place. Rows that repeat each come
-    back; null keys stay null; other columns are ignored; an empty benchmark hits nothing.
+    slop > 0 gives proximity matches: each term may stand up to slop words off its place, in one document. Rows that
+    repeat each come back; items of one id count once; null keys stay null; other columns are ignored; an empty
+    benchmark hits nothing.
     """
     parts = list(blocks(benchmark.select(F.col(item).cast("long").alias(item), F.col(item_text)), item, item_text, width))
-    out = search(build(docs, parts[0], key, text), parts[0], slop) if len(parts) == 1 else _in_passes(docs, parts, key, text, slop)
+    out = search(build(docs, parts[0], key, text, slop), parts[0], slop) if len(parts) == 1 else _in_passes(docs, parts, key, text, slop)
     return out.withColumnRenamed("key", key)

@@ -485,6 +485,28 @@ def test_decontamination_empty_and_proximity(spark, empty):
     assert {r.n_hit for r in decontaminate.contamination(df, bench.limit(0)).collect()} == {0}
 
 
+@pytest.mark.parametrize("block", [1 << 25, 40])
+def test_decontamination_slop_stays_in_documents_and_items_repeat(spark, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    rng = random.Random(3)
+    item = [(1, "a b c"), (1, "b c d e"), (1, "a b c"), (2, "e a"), (None, "c c")]
+    texts = [" ".join(rng.choice("abcdef") for _ in range(rng.randint(0, 9))) for _ in range(120)] + ["a b", "c d e", None, ""]
+    df = spark.createDataFrame(rows_of(texts), DOCS).coalesce(1)
+    bench = spark.createDataFrame(item, "item_id long, text string")
+
+    def occurs(ws, ts, slop):
+        """Some term at a place of its own, all others within the slop of theirs, in this text."""
+        spots = [{i for i, w in enumerate(ws) if w == t} for t in ts]
+        near = lambda i, at: any(p in spots[i] for p in range(at - slop, at + slop + 1))
+        return any(all(near(i, r - k + i) for i in range(len(ts))) for k in range(len(ts)) for r in spots[k])
+
+    for slop in (0, 1, 2):
+        for r in decontaminate.contamination(df, bench, slop=slop).collect():
+            ws, got = (texts[r.doc_id] or "").split(), set(r["items"])
+            assert len(r["items"]) == len(got)
+            assert {k for k, t in item if occurs(ws, t.split(), 0)} <= got <= {k for k, t in item if occurs(ws, t.split(), slop)}, (slop, ws)
+
+
 # 10 ----------------------------------------------------------------------------------------------------------------
 
 
@@ -548,8 +570,8 @@ def test_pipeline_stages(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
 
 
-def test_oracles(spark):
-    d = "/root/testdata/sf0.001"
+@pytest.mark.parametrize("d", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_oracles(spark, d):
     con = duckdb.connect()
     for t in ("documents", "benchmark", "pages"):
         con.sql(f"create view {t} as select * from '{d}/{t}.parquet'")
