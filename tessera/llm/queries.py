@@ -99,6 +99,37 @@ scored AS (SELECT page_id, host, path, rule, ({gram('h')} + {gram('path')}) / gr
 SELECT page_id, host, path, rule, coalesce({said}, CASE WHEN raw >= 0 THEN 'block' ELSE 'allow' END) AS verdict FROM scored"""
 
 
+def _either(s: str) -> str:
+    """A pattern of s in either case of its ASCII letters."""
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in s)
+
+
+def _secrets_sql():
+    """Spans from gaps and matches; each window's entropy counted afresh."""
+    names = "|".join(_either(x) for x in ("password", "passwd", "secret", "token")) + "|" + _either("api") + "_?" + _either("key")
+    quote = """["'']?"""
+    pats = (("assign", rf"({names}){quote}\x20*[:=]\x20*{quote}([A-Za-z0-9+/_.=-]+)", 6, 2), ("access", "AKIA[A-Z0-9]+", 20, 0), ("hex", "[0-9a-f]+", 24, 0), ("entropy_text", "[A-Za-z0-9+/_-]{20,}", 20, 0))
+    found = " UNION ALL ".join(f"""
+SELECT rid, {i} AS ord, '{kind}' AS kind, (sum(length(g)) OVER w + coalesce(sum(length(m)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start, m AS piece, v
+FROM (SELECT rid, unnest(range(len(ms))) AS i, unnest(ms) AS m, unnest(vs) AS v, unnest(gs[1:len(ms)]) AS g
+      FROM (SELECT rid, regexp_extract_all(s, '{p}', 0) AS ms, regexp_extract_all(s, '{p}', {group}) AS vs, string_split_regex(s, '{p}') AS gs FROM t))
+WINDOW w AS (PARTITION BY rid ORDER BY i) QUALIFY length(v) >= {least}""" for i, (kind, p, least, group) in enumerate(pats))
+    bits = f"list_max(list_transform(range(1, greatest(length(piece) - {secrets.WINDOW - 1}, 1) + 1), lambda i: list_entropy(string_split(substr(piece, i, {secrets.WINDOW}), ''))))"
+    return f"""
+WITH t AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS s FROM documents),
+found AS ({found}),
+spans AS (SELECT *, start + length(piece) AS stop FROM found),
+free AS (SELECT c.*, regexp_matches(piece, '^[0-9A-Fa-f-]+$') AS isx FROM spans c WHERE ord = 3 AND regexp_matches(piece, '[0-9]') AND NOT regexp_matches(piece, '{secrets.ALLOW}')
+         AND NOT EXISTS (SELECT 1 FROM spans b WHERE b.ord < 3 AND b.rid = c.rid AND b.start <= c.start AND b.stop >= c.stop)),
+every AS (SELECT rid, ord, kind, start, stop FROM spans WHERE ord < 3
+          UNION ALL SELECT rid, 4 - isx::INT, CASE WHEN isx THEN 'entropy_hex' ELSE 'entropy_text' END, start, stop FROM free
+          WHERE {bits} >= CASE WHEN isx THEN {secrets.BITS['entropy_hex']} ELSE {secrets.BITS['entropy_text']} END),
+lines AS (SELECT rid, count(*) FILTER (ord = 0) AS a, count(*) FILTER (ord = 1) AS k, count(*) FILTER (ord = 2) AS x,
+          string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord) FILTER (ord < 3) AS base, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord) AS spans FROM every GROUP BY rid)
+SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(k, 0)::BIGINT AS n_access, coalesce(x, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN lines USING (rid)"""
+
+
 _WORDS_SQL = r"regexp_extract_all(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLE = {
@@ -109,7 +140,20 @@ k AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS keeper FROM d)
 SELECT page_id, n::BIGINT AS payload_bytes, {_base32('h')} AS payload_digest,
        CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id = keeper THEN NULL ELSE keeper END AS refers_to FROM k""",
+    "op2_secret_scan": _secrets_sql(),
     "op3_url_filter": _url_sql(),
+    "op4_prefix_free_dedup": f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+starts AS (SELECT rid, doc_id, p, b[p + 1 : p + {prefixfree.WIDTH}] AS s FROM (SELECT *, unnest(range(octet_length(b) - {prefixfree.WIDTH - 1})) AS p FROM d)),
+least AS (SELECT rid, p, min(doc_id) OVER (PARTITION BY s) < doc_id AS gone FROM starts),
+fresh AS (SELECT rid, p, coalesce(p > lag(p) OVER w + {prefixfree.WIDTH}, true)::INT AS f FROM least WHERE gone WINDOW w AS (PARTITION BY rid ORDER BY p)),
+runs AS (SELECT rid, min(p) AS a, max(p) + {prefixfree.WIDTH} AS z FROM (SELECT rid, p, sum(f) OVER (PARTITION BY rid ORDER BY p) AS k FROM fresh) GROUP BY rid, k),
+gaps AS (SELECT rid, coalesce(lag(z) OVER (PARTITION BY rid ORDER BY a), 0) AS x, a AS y FROM runs
+         UNION ALL SELECT rid, max(z), octet_length(any_value(b)) FROM runs JOIN d USING (rid) GROUP BY rid),
+kept AS (SELECT rid, string_agg(CASE WHEN y > x THEN hex(b[x + 1 : y]) ELSE '' END, '' ORDER BY x) AS h FROM gaps JOIN d USING (rid) GROUP BY rid),
+sums AS (SELECT rid, sum(z - a) AS removed, count(*) AS n FROM runs GROUP BY rid)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans, sha256(CASE WHEN h IS NULL THEN b ELSE unhex(h) END) AS kept_sha256
+FROM d LEFT JOIN sums USING (rid) LEFT JOIN kept USING (rid)""",
     "op9_decontamination": f"""
 WITH d AS (SELECT doc_id, {_WORDS_SQL.format(t="coalesce(text, '')")} AS w FROM documents),
 b AS (SELECT item_id, {_WORDS_SQL.format(t="coalesce(text, '')")} AS w FROM benchmark),
