@@ -31,7 +31,9 @@ WIDTH = 50
 K = 24
 BATCH_BYTES = 4 << 20
 BUCKET_BYTES = 8 << 20
-MOST_BATCHES, MOST_BUCKETS, CELLS = 200_000, 20_000, 8
+#: Beyond so many, batches and buckets grow, to the wide sizes at most; from there on their number grows again.
+MANY_BATCHES, MANY_BUCKETS, CELLS = 200_000, 20_000, 8
+WIDE_BATCH, WIDE_BUCKET = 16 << 20, 64 << 20
 #: The rolling hash's base (odd) and its byte table's seed.
 BASE, SEED = 0x9E3779B97F4A7C55, 20240101
 WHOLE, SOME, PARTS, BITS = 0, 1, 2, 3
@@ -345,19 +347,18 @@ def _batched(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, int, int]
     d = docs.select(F.col(key).cast("long").alias("key"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("data"))
     low, high, total = d.agg(F.min("key"), F.max("key"), F.sum(F.octet_length("data").cast("long"))).first()
     total = total or 0
-    batches = min(MOST_BATCHES, total // BATCH_BYTES + 1)
-    buckets = min(MOST_BUCKETS, total // BUCKET_BYTES + 1)
+    count = lambda size, many, wide: int(max(min(many, total // size), total // wide) + 1)
+    batches, buckets = count(BATCH_BYTES, MANY_BATCHES, WIDE_BATCH), count(BUCKET_BYTES, MANY_BUCKETS, WIDE_BUCKET)
     if low is None:
         return d.withColumn("batch", F.lit(0)), 1, buckets
-    cells = int(min(high - low + 1, batches * CELLS))
+    cells = int(min(high - low + 1, max(batches, min(batches, MANY_BATCHES) * CELLS)))
     step = -(-(high - low + 1) // cells)
     cell: Column = F.when(F.col("key").isNull(), 0).otherwise(F.floor((F.col("key") - low) / step)).cast("int")
-    weight = dict(d.groupBy(cell.alias("c")).agg(F.sum(F.octet_length("data").cast("long")).alias("n")).collect())  # at most `cells` rows
-    to, seen = [], 0
-    for c in range(cells):
-        to.append(min(batches - 1, seen * batches // max(total, 1)))
-        seen += weight.get(c, 0) or 0
-    plan = F.split(F.lit(",".join(map(str, to))), ",").cast("array<int>")
+    got = d.groupBy(cell.alias("c")).agg(F.sum(F.octet_length("data").cast("long")).alias("n")).toArrow()  # at most `cells` rows
+    weight = np.zeros(cells)
+    weight[np.asarray(got.column("c").combine_chunks())] = np.asarray(got.column("n").combine_chunks())
+    to = np.minimum((np.cumsum(weight) - weight) * batches / max(total, 1), batches - 1).astype(np.int64)
+    plan = F.split(F.lit(",".join(map(str, to.tolist()))), ",").cast("array<int>")
     return d.withColumn("batch", F.get(plan, cell)), batches, buckets
 
 
