@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import ship
+from tessera.session import ship, written
 
 
 def first_fit_decreasing(jobs: DataFrame, nodes: DataFrame, pool: str = "pool") -> DataFrame:
@@ -132,16 +132,33 @@ def erasure_encode(objects: DataFrame, parts: int = 4, parity: int = 2) -> DataF
 
 
 def merkle_levels(leaves: DataFrame) -> list[DataFrame]:
-    """Levels of the hash tree over (idx, h), leaves first; an unpaired last node is paired with itself."""
+    """Levels of the hash tree over (idx, h), leaves first; an unpaired last node is paired with itself.
+
+    idx counts from 0 without gaps. Every sixth level is written, so that plans stay short.
+    """
     out = [leaves]
     n = leaves.count()
     while n > 1:
         pair = out[-1].groupBy(F.expr("idx div 2").alias("idx")).agg(F.array_sort(F.collect_list(F.struct("idx", "h"))).alias("p"))
         out.append(pair.select("idx", F.sha2(F.concat(F.col("p")[0]["h"], F.when(F.size("p") > 1, F.element_at("p", -1)["h"]).otherwise(F.col("p")[0]["h"])), 256).alias("h")))
+        if len(out) % 6 == 0:
+            out.append(written(out.pop(), "merkle"))
         n = (n + 1) // 2
     return out
 
 
+def merkle_check(leaves: DataFrame) -> DataFrame:
+    """idx, ok: every leaf's proof followed to the root, all leaves at once, one join a level."""
+    *levels, root = [written(x, "merkle") for x in merkle_levels(leaves)]
+    at = leaves.select("idx", F.col("idx").alias("pos"), "h")
+    for level in levels:
+        near = level.select(F.col("idx").bitwiseXOR(F.lit(1).cast("long")).alias("pos"), F.col("h").alias("sibling"))
+        both = at.join(near, "pos", "left").withColumn("sibling", F.coalesce("sibling", "h"))
+        up = F.when(F.col("pos") % 2 == 1, F.concat("sibling", "h")).otherwise(F.concat("h", "sibling"))
+        at = both.select("idx", F.expr("pos div 2").alias("pos"), F.sha2(up, 256).alias("h"))
+    return at.join(F.broadcast(root.select(F.col("h").alias("root")))).select("idx", (F.col("h") == F.col("root")).alias("ok"))
+
+
 def merkle_proof(leaves: DataFrame, idx: int) -> list[tuple[str, bool]]:
     """Siblings of a leaf upward, and whether each stands to the left; an unpaired node is its own sibling."""
     out = []

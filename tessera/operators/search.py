@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,8 @@ from tessera.session import ship
 
 #: Query tables are sent to all tasks in blocks of this many rows.
 QUERY_BLOCK = 4096
+#: Vectors in one graph.
+SHARD_ROWS = 50_000
 
 
 def top(df: DataFrame, by: list[str], distance: str, tie: str, k: int) -> DataFrame:
@@ -24,16 +27,37 @@ def top(df: DataFrame, by: list[str], distance: str, tie: str, k: int) -> DataFr
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
-    """qid, vec_id, distance, rank by expressions. queries (qid, q): few rows, sent to every task."""
-    pairs = vectors.join(F.broadcast(queries.limit(QUERY_BLOCK)))
+    """qid, vec_id, distance, rank by expressions. queries (qid, q) are sent to every task, block by block."""
+    return in_blocks(queries, lambda q: _knn_block(vectors, q, k, metric))
+
+
+def in_blocks(queries: DataFrame, search) -> DataFrame:
+    return reduce(DataFrame.unionByName, [search(q) for q in query_blocks(queries)])
+
+
+def query_blocks(queries: DataFrame) -> list[DataFrame]:
+    """queries by hash of qid in blocks of about half of QUERY_BLOCK rows; up to QUERY_BLOCK rows are one block."""
+    n = queries.count()
+    if n <= QUERY_BLOCK:
+        return [queries]
+    b = -(-2 * n // QUERY_BLOCK)
+    return [queries.where(F.pmod(F.xxhash64("qid"), F.lit(b)) == i) for i in range(b)]
+
+
+def _knn_block(vectors: DataFrame, queries: DataFrame, k: int, metric: str) -> DataFrame:
+    pairs = vectors.join(F.broadcast(queries))
     return top(pairs.select("qid", "vec_id", V.METRICS[metric](F.col("embedding"), F.col("q")).alias("distance")), ["qid"], "distance", "vec_id", k).select("qid", "vec_id", "distance", "rank")
 
 
 def knn_batched(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
     """The same by matrix products over Arrow batches: each batch gives k rows a query, the window picks the last k."""
-    q = queries.orderBy("qid").limit(QUERY_BLOCK).toPandas()
+    return in_blocks(queries, lambda q: _knn_batched_block(vectors, q, k, metric))
+
+
+def _knn_batched_block(vectors: DataFrame, queries: DataFrame, k: int, metric: str) -> DataFrame:
+    q = queries.orderBy("qid").toPandas()
     if q.empty:
-        return knn(vectors, queries, k, metric)
+        return _knn_block(vectors, queries, k, metric)
     qid, qm = q["qid"].to_numpy(), np.array(q["q"].tolist(), np.float64)
 
     def run(batches):
@@ -104,6 +128,10 @@ def ivf_probe(queries: DataFrame, centroids: DataFrame, probes: int, metric: str
 
 def ivf_search(assigned: DataFrame, queries: DataFrame, centroids: DataFrame, k: int, probes: int, metric: str = "l2") -> DataFrame:
     """Exhaustive within the probed lists. Stored partitioned by cluster_id, the join prunes the scan."""
+    return in_blocks(queries, lambda q: _ivf_block(assigned, q, centroids, k, probes, metric))
+
+
+def _ivf_block(assigned: DataFrame, queries: DataFrame, centroids: DataFrame, k: int, probes: int, metric: str) -> DataFrame:
     probed = ivf_probe(queries, centroids, probes, metric).select("qid", "q", "cluster_id")
     hits = assigned.join(F.broadcast(probed), "cluster_id")
     return top(hits.select("qid", "vec_id", V.METRICS[metric](F.col("embedding"), F.col("q")).alias("distance")), ["qid"], "distance", "vec_id", k).select("qid", "vec_id", "distance", "rank")
@@ -147,7 +175,7 @@ def pq_decode(coded: DataFrame, codebook: DataFrame) -> DataFrame:
 
 
 def pq_adc(coded: DataFrame, queries: DataFrame, codebook: DataFrame) -> DataFrame:
-    """qid, vec_id, distance: squared, from one table of sub-distances a query."""
+    """qid, vec_id, distance: squared, from one table of sub-distances a query (a block of queries at most)."""
     book = queries.join(F.broadcast(_book(codebook)))
 
     def table(subs, m):
@@ -161,6 +189,10 @@ def pq_adc(coded: DataFrame, queries: DataFrame, codebook: DataFrame) -> DataFra
 
 def pq_search(vectors: DataFrame, coded: DataFrame, queries: DataFrame, codebook: DataFrame, k: int, wider: int = 10) -> DataFrame:
     """k * wider candidates by table distances, then exact distances of those."""
+    return in_blocks(queries, lambda q: _pq_block(vectors, coded, q, codebook, k, wider))
+
+
+def _pq_block(vectors: DataFrame, coded: DataFrame, queries: DataFrame, codebook: DataFrame, k: int, wider: int) -> DataFrame:
     near = top(pq_adc(coded, queries, codebook), ["qid"], "distance", "vec_id", k * wider).select("qid", "vec_id")
     exact = vectors.join(F.broadcast(near), "vec_id").join(F.broadcast(queries), "qid").select("qid", "vec_id", V.l2(F.col("embedding"), F.col("q")).alias("distance"))
     return top(exact, ["qid"], "distance", "vec_id", k).select("qid", "vec_id", "distance", "rank")
@@ -246,9 +278,14 @@ class Graph:
         return [(math.sqrt(d), i) for d, i in self._near(q, at, max(ef, k), 0)[:k]]
 
 
-def hnsw_search(vectors: DataFrame, queries: DataFrame, k: int, links: int = 16, width: int = 100, ef: int = 100, shards: int = 4, seed: int = 42) -> DataFrame:
-    """One graph for each shard of ids, k rows from each, the nearest k of all."""
-    q = queries.orderBy("qid").limit(QUERY_BLOCK).toPandas()
+def hnsw_search(vectors: DataFrame, queries: DataFrame, k: int, links: int = 16, width: int = 100, ef: int = 100, shards: int | None = None, seed: int = 42) -> DataFrame:
+    """One graph for each shard of ids, k rows from each, the nearest k of all. Shards (4 at least) hold about SHARD_ROWS."""
+    n = shards or max(4, vectors.count() // SHARD_ROWS + 1)
+    return in_blocks(queries, lambda q: _hnsw_block(vectors, q, k, links, width, ef, n, seed))
+
+
+def _hnsw_block(vectors: DataFrame, queries: DataFrame, k: int, links: int, width: int, ef: int, shards: int, seed: int) -> DataFrame:
+    q = queries.orderBy("qid").toPandas()
     qid, qm = q["qid"].tolist(), [np.array(v, np.float64) for v in q["q"]]
 
     def run(part: pd.DataFrame) -> pd.DataFrame:

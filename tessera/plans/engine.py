@@ -58,8 +58,8 @@ _after("ddl_create_drop", ["CREATE TABLE t (id INT PRIMARY KEY, name VARCHAR(20)
 
 # vectors ---------------------------------------------------------------------------------------------------------
 
-N_QUERIES, TOP = 10, 10
-_Q = f"q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id < {N_QUERIES}), v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings)"
+EVERY, TOP = 100, 10  # one vector in a hundred is a query
+_Q = f"q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % {EVERY} = 0), v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings)"
 _DIST = {"l2": "list_distance(e, q)", "cosine": "1 - greatest(-1, least(1, list_cosine_similarity(e, q)))", "inner_product": "-list_inner_product(e, q)"}
 
 
@@ -68,7 +68,7 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _vectors(spark, sf_dir).where(F.col("vec_id") < N_QUERIES).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+    return _vectors(spark, sf_dir).where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
 
 
 def _pairwise(name: str, f, sql: str) -> None:
@@ -176,10 +176,10 @@ def pq_decode(spark, sf_dir):
     return search.pq_decode(coded, book).select("vec_id", F.round(F.aggregate("decoded", F.lit(0.0), lambda a, x: a + x.cast("double")), 5).alias("total"))
 
 
-@query(f"WITH {_Q}, {_PQ} SELECT qid, vec_id, round(distance, 5) AS distance FROM adc")
+@query(f"WITH {_Q}, {_PQ} SELECT qid, vec_id, round(distance, 5) AS distance FROM adc WHERE qid = 0")
 def pq_adc(spark, sf_dir):
     _, book, coded = _coded(spark, sf_dir)
-    return search.pq_adc(coded, _queries(spark, sf_dir), book).withColumn("distance", F.round("distance", 5))
+    return search.pq_adc(coded, _queries(spark, sf_dir).where("qid = 0"), book).withColumn("distance", F.round("distance", 5))
 
 
 @query(f"WITH {_Q}, {_PQ}, near AS (SELECT qid, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(distance, 9), vec_id) AS rn FROM adc) WHERE rn <= 100), r AS (SELECT qid, vec_id, list_distance(e, q) AS distance, row_number() OVER (PARTITION BY qid ORDER BY list_distance(e, q), vec_id) - 1 AS rank FROM near JOIN v USING (vec_id) JOIN q USING (qid)) SELECT qid, vec_id, round(distance, 5) AS distance, rank FROM r WHERE rank < {TOP}")
@@ -283,25 +283,22 @@ def policy_evaluate(spark, sf_dir):
 
 
 def _leaves(spark, sf_dir):
-    return table(spark, sf_dir, "events").where("event_id < 8").select(F.col("event_id").alias("idx"), F.sha2(F.col("event_id").cast("string"), 256).alias("h"))
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("idx"), F.sha2(F.col("event_id").cast("string"), 256).alias("h"))
 
 
-@query("WITH l0 AS (SELECT event_id AS i, sha256(event_id::VARCHAR) AS h FROM events WHERE event_id < 8), l1 AS (SELECT i // 2 AS i, sha256(string_agg(h, '' ORDER BY i)) AS h FROM l0 GROUP BY i // 2), l2 AS (SELECT i // 2 AS i, sha256(string_agg(h, '' ORDER BY i)) AS h FROM l1 GROUP BY i // 2) SELECT sha256(string_agg(h, '' ORDER BY i)) AS root FROM l2")
+@query("WITH RECURSIVE m AS (SELECT event_id AS i, sha256(event_id::VARCHAR) AS h, (SELECT count(*) FROM events) AS n FROM events UNION ALL SELECT i // 2, sha256(string_agg(h, '' ORDER BY i) || CASE WHEN count(*) = 1 THEN any_value(h) ELSE '' END), (any_value(n) + 1) // 2 FROM m WHERE n > 1 GROUP BY i // 2) SELECT h AS root FROM m WHERE n = 1")
 def merkle_root(spark, sf_dir):
     return placement.merkle_levels(_leaves(spark, sf_dir))[-1].select(F.col("h").alias("root"))
 
 
-@query("SELECT range AS idx, true AS ok FROM range(0, 7)")
+@query("SELECT event_id AS idx, true AS ok FROM events")
 def merkle_verify(spark, sf_dir):
-    leaves = _leaves(spark, sf_dir).where("idx < 7").cache()
-    root = placement.merkle_levels(leaves)[-1].first()["h"]
-    h = {r.idx: r.h for r in leaves.collect()}
-    return spark.createDataFrame([(i, placement.merkle_verify(h[i], placement.merkle_proof(leaves, i), root)) for i in range(7)], "idx long, ok boolean")
+    return placement.merkle_check(_leaves(spark, sf_dir))
 
 
-@query("SELECT doc_id AS object_id, sha256(text) AS checksum FROM documents WHERE doc_id < 100")
+@query("SELECT doc_id AS object_id, sha256(coalesce(text, '')) AS checksum FROM documents")
 def erasure_roundtrip(spark, sf_dir):
-    objects = table(spark, sf_dir, "documents").where("doc_id < 100").select(F.col("doc_id").alias("object_id"), F.encode("text", "UTF-8").alias("data"))
+    objects = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("object_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))
     shards = placement.erasure_encode(objects).withColumn("data", F.when(F.col("shard") != F.col("object_id") % 4, F.col("data")))
     return placement.erasure(shards).select("object_id", F.sha2("data", 256).alias("checksum"))
 
@@ -316,15 +313,17 @@ def log_segments(spark, sf_dir):
 @query()
 def ffd_binpack(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    jobs = e.where("event_id < 400").selectExpr("event_id AS job_id", "event_id % 8 AS pool", "CAST(1 + event_id % 4 AS BIGINT) AS cpu", "CAST(64 + event_id % 200 AS BIGINT) AS memory")
-    nodes = spark.range(80).selectExpr("id AS node_id", "id % 8 AS pool", "CAST(16 AS BIGINT) AS cpu", "CAST(1024 AS BIGINT) AS memory")
+    jobs = e.selectExpr("event_id AS job_id", "user_id AS pool", "CAST(1 + event_id % 4 AS BIGINT) AS cpu", "CAST(64 + event_id % 200 AS BIGINT) AS memory")
+    nodes = e.select("user_id").distinct().selectExpr("explode(array(2 * user_id, 2 * user_id + 1)) AS node_id", "user_id AS pool", "CAST(16 AS BIGINT) AS cpu", "CAST(1024 AS BIGINT) AS memory")
     return placement.first_fit_decreasing(jobs, nodes)
 
 
 @query()
 def gang_place(spark, sf_dir):
-    jobs = spark.range(40).selectExpr("id AS job_id", "id % 8 AS pool", "CAST(1 + id % 4 AS INT) AS gpus", "id % 3 = 0 AS cross_numa")
-    devices = table(spark, sf_dir, "events").where("event_id < 128").selectExpr("event_id AS gpu_id", "event_id % 8 AS pool", "event_id div 64 AS numa", "event_type <> 'error' AS healthy")
+    e = table(spark, sf_dir, "events")
+    users = e.select("user_id").distinct().selectExpr("user_id AS pool", "explode(array(2 * user_id, 2 * user_id + 1)) AS job_id")
+    jobs = users.selectExpr("job_id", "pool", "CAST(1 + job_id % 4 AS INT) AS gpus", "job_id % 3 = 0 AS cross_numa")
+    devices = e.selectExpr("event_id AS gpu_id", "user_id AS pool", "event_id % 2 AS numa", "event_type <> 'error' AS healthy")
     return placement.gang(jobs, devices).select("job_id", F.array_join(F.transform("gpu_ids", lambda x: x.cast("string")), ",").alias("gpus"))
 
 
