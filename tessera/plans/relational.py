@@ -56,10 +56,10 @@ SELECT x AS gpu, y AS peer FROM links UNION SELECT y, x FROM links""",
     "ext_join_inner": "SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name",
     "ext_join_left": "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'F' GROUP BY c_custkey",
     "ext_join_right": "SELECT s_suppkey, n_name FROM nation RIGHT JOIN supplier ON s_nationkey = n_nationkey AND n_regionkey = 1",
-    "ext_join_full": "SELECT coalesce(a.n_nationkey, -1) AS a, coalesce(b.n_nationkey, -1) AS b FROM (SELECT * FROM nation WHERE n_nationkey < 15) a FULL OUTER JOIN (SELECT * FROM nation WHERE n_nationkey > 9) b ON a.n_nationkey = b.n_nationkey",
+    "ext_join_full": "SELECT coalesce(a.n_nationkey, -1) AS a, coalesce(b.n_nationkey, -1) AS b FROM nation a FULL OUTER JOIN nation b ON a.n_nationkey = b.n_nationkey + 10",
     "ext_join_semi": "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)",
     "ext_join_anti": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
-    "ext_join_cross": "SELECT r_name, n_name FROM region CROSS JOIN nation WHERE n_nationkey < 3",
+    "ext_join_cross": "SELECT r_name, n_name FROM region CROSS JOIN nation",
     "ext_join_range": "SELECT b.lo, count(*) AS n FROM orders JOIN (SELECT 0 AS lo, 50000 AS hi UNION ALL SELECT 50000, 150000 UNION ALL SELECT 150000, 10000000) b ON o_totalprice >= b.lo AND o_totalprice < b.hi GROUP BY b.lo",
     "ext_join_three_way": "SELECT r_name, CAST(sum(CAST(o_totalprice AS DECIMAL(14, 2))) AS DOUBLE) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name",
     "ext_union": "SELECT n_regionkey AS k FROM nation UNION SELECT r_regionkey FROM region",
