@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.session import small_side
+
 #: rule_ord, rule_id, severity, enabled, pattern, threshold
 RULES = ((0, "rule-low", "INFO", True, "view", 0.5), (1, "rule-error", "CRITICAL", True, "error", 0.95), (2, "rule-buy", "WARNING", True, "purchase", 0.8), (3, "rule-off", "HIGH", False, "click", 0.99), (4, "rule-blank", "HIGH", True, "", 0.99), (5, "rule-user", "HIGH", True, "17", 0.95))
 RULES_SQL = " UNION ALL ".join(f"SELECT {o} AS rule_ord, '{i}' AS rule_id, '{s}' AS severity, {str(e).lower()} AS enabled, '{p}' AS pattern, {t}::DOUBLE AS threshold" for o, i, s, e, p, t in RULES)
@@ -16,9 +18,9 @@ def rules(spark: SparkSession) -> DataFrame:
 
 def matches(events: DataFrame, rule: DataFrame) -> DataFrame:
     """A row for each enabled rule whose pattern an event's values contain. rule: a small dimension table."""
-    live = rule.where("enabled AND pattern <> ''").limit(10_000)
+    live = rule.where("enabled AND pattern <> ''")
     e = events.withColumn("__s", F.concat_ws(" ", "event_type", F.col("user_id").cast("string"), "props"))
-    return e.join(F.broadcast(live), F.col("__s").contains(F.col("pattern"))).drop("__s")
+    return e.join(small_side(live), F.col("__s").contains(F.col("pattern"))).drop("__s")
 
 
 def best(events: DataFrame, rule: DataFrame, least: float = 0.8) -> DataFrame:
@@ -51,7 +53,7 @@ def alert_rules(spark: SparkSession) -> DataFrame:
 def alerts(sample: DataFrame, rule: DataFrame) -> DataFrame:
     v, t, c = F.col("value"), F.col("threshold"), F.col("cmp")
     hit = F.when(c == "gt", v > t).when(c == "gte", v >= t).when(c == "lt", v < t).when(c == "lte", v <= t).when(c == "eq", v == t)
-    return sample.join(F.broadcast(rule.limit(10_000)), hit)
+    return sample.join(small_side(rule), hit)
 
 
 def durations(sample: DataFrame, threshold: float, micros: int) -> DataFrame:
@@ -107,7 +109,7 @@ def wildcard(resource, patterns):
 
 def evaluate(request: DataFrame, policy: DataFrame) -> DataFrame:
     """event_id, rule_id, decision: the first rule that fits, by policy and rule order; none: deny. policy: a small table."""
-    p = F.broadcast(policy.where("enabled").limit(10_000))
+    p = small_side(policy.where("enabled"))
     act = (F.size("actions") == 0) | F.array_contains("actions", "*") | F.expr("array_contains(actions, action)")
     who = (
         F.when(F.col("kind") == "rbac", (F.size(p["roles"]) == 0) | F.arrays_overlap(p["roles"], request["roles"]))

@@ -8,6 +8,7 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int = 8, app: str = "tessera", shuffle: int = 8) -> SparkSession:
@@ -51,6 +52,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_side(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """df marked for broadcast if it has at most `most` rows; else as it is, all rows kept, for Catalyst to choose."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -119,3 +119,25 @@ def test_first_fit_decreasing(spark):
     jobs = spark.createDataFrame([(1, 0, 1, 50), (2, 0, 1, 80), (3, 0, 1, 60), (4, 0, 9, 1)], "job_id long, pool long, cpu long, memory long")
     nodes = spark.createDataFrame([(0, 0, 4, 100), (1, 0, 4, 120)], "node_id long, pool long, cpu long, memory long")
     assert {r.job_id: r.node_id for r in placement.first_fit_decreasing(jobs, nodes).collect()} == {2: 0, 3: 1, 1: 1, 4: None}
+
+
+def test_no_rule_is_dropped_beyond_the_broadcast_check(spark):
+    from tessera.session import small_side
+
+    assert small_side(spark.range(12), 10).count() == 12
+    sample = spark.createDataFrame([(1, 50.0)], "event_id long, value double")
+    rule = spark.range(10_002).selectExpr("cast(id as string) rule_id", "'gt' cmp", "cast(if(id = 10001, 10, 99) as double) threshold")
+    assert [r.rule_id for r in detect.alerts(sample, rule).collect()] == ["10001"]
+
+
+def test_queries_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(search, "QUERY_BLOCK", 4)
+    v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)], "vec_id long, embedding array<float>")
+    q = v.selectExpr("vec_id AS qid", "embedding AS q")
+    for f in (search.knn, search.knn_batched, search.hnsw_search):
+        assert {r.qid: r.vec_id for r in f(v, q, 1).collect()} == {i: i for i in range(20)}
+
+
+def test_merkle_check_of_all_leaves(spark):
+    leaves = spark.range(21).selectExpr("id AS idx", "sha2(cast(id as string), 256) AS h")
+    assert [r.ok for r in placement.merkle_check(leaves).collect()] == [True] * 21
