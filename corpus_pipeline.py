@@ -1,11 +1,11 @@
-"""Training corpus pipeline: toxicity, near-duplicates, benchmark passages, secrets, packing."""
+"""Training corpus pipeline: toxicity, near-duplicates, benchmark passages, secrets, edited copies, packing."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, packing, secrets, simhash, toxicity
+from tessera.llm import decontaminate, packing, secrets, simhash, toxicity, wordcopies
 from tessera.llm.queries import vocabulary
 from tessera.session import written
 
@@ -39,6 +39,12 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
+def drop_edited_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near copies by words (five-word Jaccard of 0.8 or more) those with larger ids go; null ids stay."""
+    gone = wordcopies.superfluous(docs)
+    return docs.select(*COLUMNS).join(gone, docs["doc_id"] == gone["id"], "left_anti")
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences."""
     return packing.pack(docs, vocabulary())
@@ -49,6 +55,7 @@ STAGES = [
     ("simhash_near_dedup", drop_near_duplicates),
     ("benchmark_decontamination", drop_contaminated),
     ("secret_scans", mask_secrets),
+    ("edited_copies", drop_edited_copies),
     ("packing", pack_sequences),
 ]
 

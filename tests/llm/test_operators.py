@@ -570,6 +570,43 @@ def test_pipeline_stages(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
 
 
+def brute_near(text):
+    """Pairs of ids (a < b) with words whose five-word shingles have a Jaccard similarity of 0.8 or more."""
+    words = {i: re.sub("[A-Z]", lambda m: m[0].lower(), t or "").encode("utf-8", "surrogatepass").split() for i, t in text.items()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in words.items() if w}
+    return {(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+
+
+def test_pipeline_drops_edited_copies(spark, sf):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        if name not in ("toxicity", "packing"):
+            docs = stage(spark, docs, sf)
+    assert brute_near({r.doc_id: r.text for r in docs.collect()}) == set()
+
+
+def test_edited_copies(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(5)
+    text = {0: None, 1: "", 2: "a b", 3: "A  b", 4: "a b c"}
+    for g in range(12):  # groups of 1 to 34 copies with few to many edits, on one common passage
+        base = [f"w{rng.randrange(400)}" for _ in range(rng.choice((6, 30, 120)))] + ["common"] * (g % 3) + [f"c{k}" for k in range(12)]
+        for _ in range(1 + 3 * g):
+            words = list(base)
+            for _ in range(rng.randrange(4)):
+                words[rng.randrange(len(words))] = f"e{rng.randrange(10**6)}"
+            text[len(text)] = " ".join(words)
+    near = brute_near(text)
+    rows = [(i, t, "en", "s", 0) for i, t in text.items()] + [(None, text[30], "en", "s", 0)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = [r.doc_id for r in dict(corpus_pipeline.STAGES)["edited_copies"](spark, docs, "").collect()]
+    gone = set(text) - set(kept)
+    assert kept.count(None) == 2 and len(near) > 100 and 3 in gone
+    assert not any(a in kept and b in kept for a, b in near) and gone <= {b for _, b in near}
+    assert dict(corpus_pipeline.STAGES)["edited_copies"](spark, docs.limit(0), "").count() == 0
+
+
 @pytest.mark.parametrize("d", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
 def test_oracles(spark, d):
     con = duckdb.connect()
