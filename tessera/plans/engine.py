@@ -72,11 +72,18 @@ def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pairwise(name: str, f, sql: str) -> None:
+    """name: over query vector 0; name_all: over all query vectors, with qid."""
+
+    def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+        v = _vectors(spark, sf_dir)
+        return search.in_blocks(_queries(spark, sf_dir), lambda q: v.join(F.broadcast(q)).select("qid", "vec_id", F.round(f(F.col("embedding"), F.col("q")), 6).alias("d")))
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         q = _queries(spark, sf_dir).where("qid = 0")
         return _vectors(spark, sf_dir).join(F.broadcast(q)).select("vec_id", F.round(f(F.col("embedding"), F.col("q")), 6).alias("d"))
 
     QUERIES[name], ORACLE[name] = run, f"WITH {_Q} SELECT vec_id, round({sql}, 6) AS d FROM v, q WHERE qid = 0"
+    QUERIES[f"{name}_all"], ORACLE[f"{name}_all"] = whole, f"WITH {_Q} SELECT qid, vec_id, round({sql}, 6) AS d FROM v, q"
 
 
 _pairwise("vec_l2", V.l2, "list_distance(e, q)")
@@ -182,6 +189,12 @@ def pq_adc(spark, sf_dir):
     return search.pq_adc(coded, _queries(spark, sf_dir).where("qid = 0"), book).withColumn("distance", F.round("distance", 5))
 
 
+@query(f"WITH {_Q}, {_PQ} SELECT qid, vec_id, round(distance, 5) AS distance FROM adc")
+def pq_adc_all(spark, sf_dir):
+    _, book, coded = _coded(spark, sf_dir)
+    return search.in_blocks(_queries(spark, sf_dir), lambda q: search.pq_adc(coded, q, book)).withColumn("distance", F.round("distance", 5))
+
+
 @query(f"WITH {_Q}, {_PQ}, near AS (SELECT qid, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(distance, 9), vec_id) AS rn FROM adc) WHERE rn <= 100), r AS (SELECT qid, vec_id, list_distance(e, q) AS distance, row_number() OVER (PARTITION BY qid ORDER BY list_distance(e, q), vec_id) - 1 AS rank FROM near JOIN v USING (vec_id) JOIN q USING (qid)) SELECT qid, vec_id, round(distance, 5) AS distance, rank FROM r WHERE rank < {TOP}")
 def pq_search_rerank(spark, sf_dir):
     v, book, coded = _coded(spark, sf_dir)

@@ -141,3 +141,14 @@ def test_queries_in_blocks(spark, monkeypatch):
 def test_merkle_check_of_all_leaves(spark):
     leaves = spark.range(21).selectExpr("id AS idx", "sha2(cast(id as string), 256) AS h")
     assert [r.ok for r in placement.merkle_check(leaves).collect()] == [True] * 21
+
+
+def test_all_query_vectors_are_answered(spark):
+    from tessera.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    v = spark.read.parquet(f"{sf}/embeddings.parquet")
+    n, q = v.count(), {r.vec_id for r in v.where("vec_id % 100 = 0").collect()}
+    for name in ("pq_adc_all", "vec_l2_all", "vec_l2_sq_all", "vec_cosine_all", "vec_cosine_sim_all", "vec_ip_all"):
+        got = registry.QUERIES[name](spark, sf).groupBy("qid").count().collect()
+        assert {r.qid for r in got} == q and {r["count"] for r in got} == {n}
