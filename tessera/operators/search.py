@@ -12,12 +12,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import vector as V
-from tessera.session import ship
+from tessera.session import ship, written
 
 #: Query tables are sent to all tasks in blocks of this many rows.
 QUERY_BLOCK = 4096
 #: Vectors in one graph.
 SHARD_ROWS = 50_000
+#: Vectors that codebooks are trained on.
+TRAIN_ROWS = 20_000
+#: Slack of distance bounds for rounding.
+SLACK = 1e-6
 
 
 def top(df: DataFrame, by: list[str], distance: str, tie: str, k: int) -> DataFrame:
@@ -157,6 +161,29 @@ def _book(codebook: DataFrame) -> DataFrame:
     return per.agg(F.transform(F.array_sort(F.collect_list(F.struct("m", "subs"))), lambda s: s["subs"]).alias("book"))
 
 
+def pq_train(vectors: DataFrame, parts: int, codes: int, sample: int = TRAIN_ROWS, rounds: int = 25, seed: int = 42) -> DataFrame:
+    """Codebook by k-means in each sub-space (Lloyd, at most `rounds`), on about `sample` vectors told by a hash of their id. m, code, sub."""
+    n = vectors.count()
+    some = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_003)) * n < 1_000_003 * sample).orderBy("vec_id").select("embedding").toPandas()
+    if some.empty:
+        return pq_codebook(vectors, parts, codes)
+    x, rng = np.array(some["embedding"].tolist(), np.float64), np.random.default_rng(seed)
+    w, rows = x.shape[1] // parts, []
+    for m in range(parts):
+        sub = np.unique(x[:, m * w : (m + 1) * w], axis=0)
+        c = sub[rng.permutation(len(sub))[:codes]]
+        for _ in range(rounds):
+            near = ((c**2).sum(1) - 2 * sub @ c.T).argmin(1)
+            size = np.bincount(near, minlength=len(c))
+            new = np.array([np.bincount(near, sub[:, d], len(c)) for d in range(w)]).T / np.maximum(size, 1)[:, None]
+            new[size == 0] = c[size == 0]
+            if np.allclose(new, c):
+                break
+            c = new
+        rows += [(m, k, [float(v) for v in row]) for k, row in enumerate(c)]
+    return vectors.sparkSession.createDataFrame(rows, "m int, code int, sub array<double>")
+
+
 def pq_encode(vectors: DataFrame, codebook: DataFrame) -> DataFrame:
     """vec_id, codes: the nearest sub-vector of each part (smaller code on ties)."""
     d = vectors.join(F.broadcast(_book(codebook)))
@@ -176,15 +203,22 @@ def pq_decode(coded: DataFrame, codebook: DataFrame) -> DataFrame:
 
 def pq_adc(coded: DataFrame, queries: DataFrame, codebook: DataFrame) -> DataFrame:
     """qid, vec_id, distance: squared, from one table of sub-distances a query (a block of queries at most)."""
-    book = queries.join(F.broadcast(_book(codebook)))
+    d = coded.join(F.broadcast(_tables(queries.select("qid", "q"), codebook).drop("q")))
+    return d.select("qid", "vec_id", _table_distance().alias("distance"))
+
+
+def _tables(queries: DataFrame, codebook: DataFrame) -> DataFrame:
+    """queries with t: the squared distances to each part's sub-vectors."""
 
     def table(subs, m):
         w = F.size(F.element_at(subs, 1)["sub"])
         return F.transform(subs, lambda s: V.l2_squared(F.slice("q", m * w + 1, w), s["sub"]))
 
-    tables = book.select("qid", F.transform("book", table).alias("t"))
-    d = coded.join(F.broadcast(tables))
-    return d.select("qid", "vec_id", F.aggregate(F.zip_with("t", "codes", lambda t, c: F.element_at(t, c + 1)), F.lit(0.0), lambda a, x: a + x).alias("distance"))
+    return queries.join(F.broadcast(_book(codebook))).select(*queries.columns, F.transform("book", table).alias("t"))
+
+
+def _table_distance():
+    return F.aggregate(F.zip_with("t", "codes", lambda t, c: F.element_at(t, c + 1)), F.lit(0.0), lambda a, x: a + x)
 
 
 def pq_search(vectors: DataFrame, coded: DataFrame, queries: DataFrame, codebook: DataFrame, k: int, wider: int = 10) -> DataFrame:
@@ -198,6 +232,32 @@ def _pq_block(vectors: DataFrame, coded: DataFrame, queries: DataFrame, codebook
     return top(exact, ["qid"], "distance", "vec_id", k).select("qid", "vec_id", "distance", "rank")
 
 
+def pq_search_exact(vectors: DataFrame, queries: DataFrame, codebook: DataFrame, k: int, wider: int = 10) -> DataFrame:
+    """pq_search, and then every vector that its code cannot rule out: the k nearest, proven.
+
+    A vector lies within its error (the distance to its decoded form) of what the tables measure; it is ruled out where
+    table distance less error is above the query's k-th distance so far. Distances are L2.
+    """
+    coded = written(pq_encode(vectors, codebook), "pq-codes")
+    stored = vectors.select("vec_id", "embedding").join(coded, "vec_id").join(F.broadcast(_book(codebook)))
+    decoded = F.flatten(F.transform("codes", lambda c, m: F.element_at(F.element_at(F.col("book"), m + 1), c + 1)["sub"]))
+    stored = written(stored.select("vec_id", "embedding", "codes", V.l2(F.col("embedding"), decoded).alias("error")), "pq-stored")
+
+    def block(q: DataFrame) -> DataFrame:
+        limit = kth(_pq_block(vectors, coded, q, codebook, k, wider), q, k)
+        pairs = stored.join(F.broadcast(_tables(limit, codebook)))
+        left = pairs.where(F.sqrt(_table_distance()) - F.col("error") <= F.col("limit") + SLACK)
+        return top(left.select("qid", "vec_id", V.l2(F.col("embedding"), F.col("q")).alias("distance")), ["qid"], "distance", "vec_id", k).select("qid", "vec_id", "distance", "rank")
+
+    return in_blocks(queries, block)
+
+
+def kth(found: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """queries with limit: the distance of the k-th found, infinite where fewer were found."""
+    far = found.where(F.col("rank") == k - 1).select("qid", F.col("distance").alias("limit"))
+    return written(queries.join(far, "qid", "left").withColumn("limit", F.coalesce("limit", F.lit(float("inf")))), "search-limits")
+
+
 def compression(dim: int, parts: int, codes: int) -> float:
     return dim * 4 / (parts * (1 if codes <= 256 else 2))
 

@@ -201,6 +201,12 @@ def pq_search_rerank(spark, sf_dir):
     return search.pq_search(v, coded, _queries(spark, sf_dir), book, TOP).withColumn("distance", F.round("distance", 5))
 
 
+@query(_knn_sql("l2"))
+def pq_search_exact(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    return search.pq_search_exact(v, _queries(spark, sf_dir), search.pq_train(v, PARTS, CODES), TOP).withColumn("distance", F.round("distance", 5))
+
+
 @query()
 def hnsw_search(spark, sf_dir):
     return search.hnsw_search(_vectors(spark, sf_dir), _queries(spark, sf_dir), TOP)

@@ -152,3 +152,19 @@ def test_all_query_vectors_are_answered(spark):
     for name in ("pq_adc_all", "vec_l2_all", "vec_l2_sq_all", "vec_cosine_all", "vec_cosine_sim_all", "vec_ip_all"):
         got = registry.QUERIES[name](spark, sf).groupBy("qid").count().collect()
         assert {r.qid for r in got} == q and {r["count"] for r in got} == {n}
+
+
+def test_pq_exact_finds_all(cloud):
+    v, q, truth = cloud
+    book = search.pq_train(v, 8, 16)
+    assert search.recall(search.pq_search_exact(v, q, book, 10), truth, 10).first().recall == 1.0
+    assert search.pq_search_exact(v.limit(3), q, book, 10).count() == 150  # fewer vectors than k: all of them
+    assert book.groupBy("m").count().where("count = 16").count() == 8
+
+    x = np.array(v.toPandas()["embedding"].tolist())
+
+    def error(b):
+        subs = b.toPandas()
+        return sum(((x[:, None, m * 8 : m * 8 + 8] - np.array(subs[subs.m == m]["sub"].tolist())[None]) ** 2).sum(2).min(1).sum() for m in range(8))
+
+    assert error(book) < 0.95 * error(search.pq_codebook(v, 8, 16))
