@@ -141,6 +141,24 @@ def _ivf_block(assigned: DataFrame, queries: DataFrame, centroids: DataFrame, k:
     return top(hits.select("qid", "vec_id", V.METRICS[metric](F.col("embedding"), F.col("q")).alias("distance")), ["qid"], "distance", "vec_id", k).select("qid", "vec_id", "distance", "rank")
 
 
+def ivf_search_exact(assigned: DataFrame, queries: DataFrame, centroids: DataFrame, k: int, probes: int) -> DataFrame:
+    """ivf_search, and then every list and vector that a distance bound cannot rule out: the k nearest (L2), proven.
+
+    By the triangle inequality a vector is at least |query to centroid - vector to centroid| away; lists are ruled out
+    by their radius, vectors by their stored centroid_distance, where that is above the query's k-th distance so far.
+    """
+    assigned = written(assigned.select("vec_id", "embedding", "cluster_id", "centroid_distance"), "ivf-lists")
+    radii = written(assigned.groupBy("cluster_id").agg(F.min("centroid_distance").alias("near"), F.max("centroid_distance").alias("far")).join(F.broadcast(centroids), "cluster_id"), "ivf-radii")
+
+    def block(q: DataFrame) -> DataFrame:
+        limit = kth(_ivf_block(assigned, q, centroids, k, probes, "l2"), q, k).withColumn("limit", F.col("limit") + SLACK)
+        lists = limit.join(F.broadcast(radii)).withColumn("away", V.l2(F.col("q"), F.col("centroid"))).where("away - far <= limit AND near - away <= limit")
+        pairs = assigned.join(F.broadcast(lists.select("qid", "q", "limit", "cluster_id", "away")), "cluster_id").where("abs(away - centroid_distance) <= limit")
+        return top(pairs.select("qid", "vec_id", V.l2(F.col("embedding"), F.col("q")).alias("distance")), ["qid"], "distance", "vec_id", k).select("qid", "vec_id", "distance", "rank")
+
+    return in_blocks(queries, block)
+
+
 def ivf_stats(assigned: DataFrame, centroids: DataFrame) -> DataFrame:
     n = centroids.select("cluster_id").join(assigned.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")), "cluster_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return n.agg(F.count(F.lit(1)).alias("lists"), F.sum((F.col("n") > 0).cast("long")).alias("used"), F.min("n").alias("least"), F.max("n").alias("most"), F.round(F.avg("n"), 6).alias("mean"))

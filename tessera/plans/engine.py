@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import vector as V
 from tessera.operators import detect, placement, search
 from tessera.plans.session import Session
+from tessera.session import written
 from tessera.sources.tables import table
 from tessera.streaming import windows
 
@@ -152,14 +155,34 @@ def ivf_stats(spark, sf_dir):
 @query()
 def ivf_kmeans_search(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    c = search.kmeans_centroids(v, 22)
-    return search.ivf_search(search.ivf_assign(v, c), _queries(spark, sf_dir), c, TOP, 6)
+    lists, probes = search.ivf_parameters(v.count())
+    c = search.kmeans_centroids(v, lists)
+    return search.ivf_search_exact(search.ivf_assign(v, c), _queries(spark, sf_dir), c, TOP, probes)
+
+
+@query(_knn_sql("l2"))
+def ivf_search_exact(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    c = search.label_centroids(v)
+    return search.ivf_search_exact(search.ivf_assign(v, c), _queries(spark, sf_dir), c, TOP, 3).withColumn("distance", F.round("distance", 5))
 
 
 @query("SELECT 1.0 AS recall")
 def recall_at_k(spark, sf_dir):
-    v, q = _vectors(spark, sf_dir), _queries(spark, sf_dir)
-    return search.recall(search.knn(v, q, TOP), search.knn_batched(v, q, TOP), TOP)
+    """The least recall of the searches that prove their result (inverted file, product quantisation) against brute force."""
+    return _recalls(spark, sf_dir, "ivf_search_exact", "ivf_kmeans_search", "pq_search_exact").agg(F.min("recall").alias("recall"))
+
+
+@query()
+def recall_by_search(spark, sf_dir):
+    """search, recall: of every registered inverted file, product quantisation and graph search against brute force."""
+    return _recalls(spark, sf_dir, "ivf_search", "ivf_search_exact", "ivf_kmeans_search", "pq_search_rerank", "pq_search_exact", "hnsw_search")
+
+
+def _recalls(spark, sf_dir, *names: str) -> DataFrame:
+    truth = written(search.knn_batched(_vectors(spark, sf_dir), _queries(spark, sf_dir), TOP), "truth")
+    each = [search.recall(QUERIES[n](spark, sf_dir), truth, TOP).select(F.lit(n).alias("search"), "recall") for n in names]
+    return reduce(DataFrame.unionByName, each)
 
 
 PARTS, CODES = 8, 16
