@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import ship
+from tessera.session import ship, written
 
 PACKET, BODY = 188, 184
 PMT_PID, DATA_PID, STREAM_ID, STREAM_TYPE = 0x1000, 0x0100, 0xBD, 0x06
@@ -97,42 +97,84 @@ def mux(payload: bytes) -> bytes:
     return b"".join(out)
 
 
-def _check(section: bytes) -> bytes:
-    n = struct.unpack(">H", section[1:3])[0] & 0xFFF
-    if crc32_mpeg(section[: 3 + n]):
+def _section_body(stream: bytes, body: int, end: int) -> bytes:
+    """What a table section holds between its head and its CRC, by its own length; the pointer field is followed."""
+    at = body + 1 + stream[body]
+    n = struct.unpack_from(">H", stream, at + 1)[0] & 0xFFF if at + 3 <= end else end
+    if at + 3 + n > end:
+        raise ValueError("a table that spans packets")
+    if crc32_mpeg(stream[at : at + 3 + n]):
         raise ValueError("table CRC")
-    return section[8 : 3 + n - 4]
+    return stream[at + 8 : at + 3 + n - 4]
+
+
+def _program_map(pat: bytes) -> int | None:
+    """PID of the first program's map; program 0 names the network and is passed over."""
+    for number, pid in struct.iter_unpack(">HH", pat[: len(pat) // 4 * 4]):
+        if number:
+            return pid & 0x1FFF
+    return None
+
+
+def _elements(pmt: bytes) -> list[tuple[int, int]]:
+    """(stream type, PID) of each element of a program map, descriptors passed over by their lengths."""
+    at, out = 4 + (struct.unpack_from(">H", pmt, 2)[0] & 0xFFF), []
+    while at + 5 <= len(pmt):
+        kind, pid, n = struct.unpack_from(">BHH", pmt, at)
+        out.append((kind, pid & 0x1FFF))
+        at += 5 + (n & 0xFFF)
+    return out
 
 
 def demux(stream: bytes) -> dict:
-    """payload, PES count, PTS list, random-access byte offsets, packets, and continuity errors of a stream."""
+    """payload, PES count, PTS list, random-access byte offsets, packets, continuity errors, orphans and PID of a stream.
+
+    The element is the first private-data one of the first program, else its first one. A packet that repeats its
+    predecessor's counter with equal bytes is dropped (legal once); packets without payload do not count; a jump of
+    the counter is a gap unless the discontinuity flag announces it; payload before the first start is dropped and
+    counted as orphan. A damaged table, a lost sync byte or a PES packet that is not whole is an error.
+    """
     if len(stream) % PACKET:
         raise ValueError("not whole packets")
     pmt = pid = None
     parts: list[list[bytes]] = []
-    access, last, gaps = [], None, 0
+    access, last, gaps, orphans = [], None, 0, 0
+    before = b""
     for at in range(0, len(stream), PACKET):
         sync, word, flags = struct.unpack_from(">BHB", stream, at)
         if sync != 0x47:
             raise ValueError("lost sync")
-        got, start, body = word & 0x1FFF, word & 0x4000, at + 4
+        got, start, body, end = word & 0x1FFF, word & 0x4000, at + 4, at + PACKET
         if got == pid:
+            mark = announced = False
             if flags & 0x20:
                 n = stream[body]
-                if n and stream[body + 1] & 0x40:
-                    access.append(at)
+                if n:
+                    announced, mark = bool(stream[body + 1] & 0x80), bool(stream[body + 1] & 0x40)
                 body += 1 + n
-            cc = flags & 15
-            if last is not None and cc != last + 1 & 15:
+            if not flags & 0x10:
+                continue
+            cc, packet = flags & 15, stream[at:end]
+            if last == cc and packet == before:
+                continue
+            if last is not None and cc != last + 1 & 15 and not announced:
                 gaps += 1
-            last = cc
+            last, before = cc, packet
+            if mark:
+                access.append(at)
             if start:
                 parts.append([])
-            parts[-1].append(stream[body : at + PACKET])
+            if parts:
+                parts[-1].append(stream[body:end])
+            else:
+                orphans += 1
+        elif not flags & 0x10:
+            continue
         elif got == 0:
-            pmt = struct.unpack(">H", _check(stream[body + 1 :][:183])[2:4])[0] & 0x1FFF
+            pmt = _program_map(_section_body(stream, body + (1 + stream[body] if flags & 0x20 else 0), end))
         elif got == pmt:
-            pid = struct.unpack(">H", _check(stream[body + 1 :][:183])[5:7])[0] & 0x1FFF
+            found = _elements(_section_body(stream, body + (1 + stream[body] if flags & 0x20 else 0), end))
+            pid = next((p for k, p in found if k == STREAM_TYPE), found[0][1] if found else None)
     payload, pts = [], []
     for p in parts:
         pes = b"".join(p)
@@ -141,7 +183,7 @@ def demux(stream: bytes) -> dict:
             raise ValueError("PES packet is not whole")
         pts.append(_unstamp(pes[9:14]))
         payload.append(pes[9 + pes[8] :])
-    return {"payload": b"".join(payload), "pes": len(parts), "pts": pts, "access": access, "packets": len(stream) // PACKET, "gaps": gaps, "pid": pid}
+    return {"payload": b"".join(payload), "pes": len(parts), "pts": pts, "access": access, "packets": len(stream) // PACKET, "gaps": gaps, "orphans": orphans, "pid": pid}
 
 
 def padded(text: str | None) -> tuple[bytes, int]:
@@ -154,11 +196,15 @@ def feature(d: dict) -> str:
     return f"packets={d['packets']};pes={d['pes']};pid={d['pid']};last_pts={d['pts'][-1] if d['pts'] else -1};access={'/'.join(map(str, d['access']))};gaps={d['gaps']}"
 
 
-COLUMNS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+COLUMNS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pts array<long>, random_access array<long>"
+
+
+def _fields(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
 
 def store(docs: DataFrame, text: str = "text", to: str = "media") -> DataFrame:
-    """docs (all columns) with the binary transport stream of each text; null text is the empty text."""
+    """docs (all columns but an old `to`) with the binary transport stream of each text; null text is the empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -167,31 +213,44 @@ def store(docs: DataFrame, text: str = "text", to: str = "media") -> DataFrame:
 
     ship(docs.sparkSession)
     docs = docs.drop(to)
-    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{to}` binary")
+    return docs.mapInArrow(run, f"{_fields(docs)}, `{to}` binary")
 
 
-def describe(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key and COLUMNS, from the stored stream read back.
+def read(stored: DataFrame, media: str = "media", length: str = "n_bytes") -> DataFrame:
+    """stored without its media column, and COLUMNS from each stream's bytes; `length` names the unpadded byte count.
 
-    Null text is the empty text, whose payload is 64 zero bytes. Equal texts give equal values; repeated rows are kept,
-    an empty table gives no rows, and other columns (clashing names too) are ignored.
+    Timestamps (90 kHz) and random-access points (byte offsets) are arrays. A stream with gaps or orphans is an error.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for t in b.column(1).to_pylist():
-                raw, n = padded(t)
-                media = mux(raw)
-                d = demux(media)
+            at = b.schema.get_field_index(media)
+            for m in b.column(at).to_pylist():
+                d = demux(m)
                 back = d["payload"]
-                if back != raw or d["gaps"]:
-                    raise ValueError("stream does not round-trip")
-                out.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(d)))
-            cols = list(zip(*out, strict=True)) if out else [()] * 7
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=[key, *[x.split()[0] for x in COLUMNS.split(", ")]])
+                if d["gaps"] or d["orphans"]:
+                    raise ValueError("stream has gaps")
+                out.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature(d), d["pts"], d["access"]))
+            cols = list(zip(*out, strict=True)) if out else [()] * 8
+            longs = pa.list_(pa.int64())
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), longs, longs]
+            keep = [i for i in range(b.num_columns) if i != at]
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in keep], *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=[*[b.schema.names[i] for i in keep], *names])
+
+    ship(stored.sparkSession)
+    fields = [f for f in COLUMNS.split(", ") if not f.startswith("n_bytes ")]
+    names = [f.split()[0] for f in fields]
+    kept = stored.drop(media)
+    return stored.mapInArrow(run, f"{_fields(kept)}, {', '.join(fields)}")
 
-    ship(docs.sparkSession)
-    d = docs.select(F.col(key), F.col(text))
-    return d.mapInArrow(run, f"`{key}` {d.schema[0].dataType.simpleString()}, {COLUMNS}")
+
+def describe(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row: key and COLUMNS. Streams are written to the shared folder as a media column, and read back from there.
+
+    Null text is the empty text, whose payload is 64 zero bytes. Equal texts give equal values; repeated rows are kept,
+    an empty table gives no rows, and other columns (clashing names too) are ignored.
+    """
+    n = F.octet_length(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")).cast("long")
+    media = store(docs.select(F.col(key).alias("k"), n.alias("n_bytes"), F.col(text).alias("t")), "t").drop("t")
+    return read(written(media, "media")).withColumnRenamed("k", key)
