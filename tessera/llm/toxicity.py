@@ -1,9 +1,12 @@
 """Toxicity by weak supervision: voters, a generative label model, and a linear classifier on its posteriors.
 
-Voters are lexicon entries (words and word beginnings that stand out in the labelled texts, and a small fixed list) and
-patterns around them. The label model is fitted by expectation-maximisation: each voter's rate in either class gives
-its accuracy; correlations left after the classes are known scale down voters that repeat each other. A sparse logistic
-regression on word features then learns the posterior labels and scores whole texts.
+Voters are lexicon entries and patterns. Lexicon entries come from a fixed list, from word families that burst (three or
+more different words with one beginning in one text, more often than chance; found without labels), and from words that stand
+out; which of them vote, and for which class, is settled on labelled rows. The label model never sees a label: it starts
+from the number of votes, and expectation-maximisation estimates each voter's rate in either class and the pairwise
+correlations that the classes leave, which scale voters that repeat each other. A sparse logistic regression on word
+features then learns the posteriors and scores whole texts. Labels check the outcome: `departure` is the share of labelled
+rows where the posterior and the label differ.
 """
 
 from __future__ import annotations
@@ -20,23 +23,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import ship
+from tessera.session import ship, written
 
 #: At most so many labelled rows are fitted on (those with the least hash of their id). A documented bound.
 MAX_FIT_ROWS = 6_000
 THRESHOLD = 0.3
-#: Common insults, a voter of their own.
+#: Common insults, a voter each.
 SEEDS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "pathetic", "worthless", "disgusting", "clown")
 #: Words of address, for the pattern voter.
 COPULAS = ("you", "is", "are", "est", "ist", "es")
-MOST_VOTERS = 120
-MOST_FEATURES = 3_000
-#: Slack of the significance bound 2 ln(features tried), in units of the likelihood ratio.
-SLACK = 0.0
+#: Distinct words of the fitted rows, in bytes, at most. A documented bound.
+MAX_FIT_BYTES = 64 << 20
+#: How much more often than chance a family of words must burst.
+BURST = 10
+#: A family may stay so far under the bound 2 ln(families tried) on the likelihood ratio (about half a false one is expected).
+SLACK = 2.0
 #: Share of the positive rows that a lexicon entry must be in.
 LEAST_SHARE = 0.012
 MEMO = 300_000
-ANY = "*"
 LETTERS = (3, 4, 5, 6, 7)
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -62,35 +66,46 @@ def all_words(text: str | None) -> set[str]:
 
 @dataclass
 class LabelModel:
-    """Class prior, voter rates in either class, and voter weights (1 is a voter that repeats no other)."""
+    """Class prior, voter rates in either class, correlations within the classes, and the voter weights these give."""
 
     prior: float
     hit: np.ndarray
     false: np.ndarray
-    weight: np.ndarray
+    correlation: np.ndarray
+    weight: np.ndarray  # 1: a voter that repeats no other
+    abstain: bool = False  # a voter that does not vote says nothing; else it votes for the other class
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        on = np.log(self.hit / self.false)
-        off = np.log((1 - self.hit) / (1 - self.false))
-        z = math.log(self.prior / (1 - self.prior)) + (votes * on + (1 - votes) * off) @ self.weight
+        z = math.log(self.prior / (1 - self.prior)) + (votes * np.log(self.hit / self.false)) @ self.weight
+        if not self.abstain:
+            z = z + ((1 - votes) * np.log((1 - self.hit) / (1 - self.false))) @ self.weight
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_labels(votes: np.ndarray, start: np.ndarray, rounds: int = 25) -> LabelModel:
-    """Rates by expectation-maximisation from a start posterior, weights from the correlations within the classes."""
+def fit_labels(votes: np.ndarray, start: np.ndarray | None = None, rounds: int = 25, abstain: bool = False) -> LabelModel:
+    """Expectation-maximisation from the number of votes (or a start posterior); no labels enter.
+
+    Without a start posterior, the last voter stands for rows that no other voter votes on; they start as clean.
+
+    A voter's rates are smoothed by half a row. Each round estimates the correlations again; m voters that
+    always agree get a weight of 1/m each, by the inverse of the correlation matrix.
+    """
     n, v = votes.shape
-    p, weight = start.astype(float), np.ones(v)
-    model = LabelModel(0.1, np.full(v, 0.5), np.full(v, 0.05), weight)
+    p = np.where(votes[:, -1] > 0, 0.02, 1 - 0.3 ** votes.sum(1)) if start is None else start.astype(float)
+    model = LabelModel(0.1, np.full(v, 0.5), np.full(v, 0.05), np.eye(v), np.ones(v), abstain)
     for k in range(rounds):
         pos, neg = p.sum(), n - p.sum()
         hit, false = (p @ votes + 0.5) / (pos + 1), ((1 - p) @ votes + 0.05) / (neg + 1)
-        if k == rounds // 2 and v > 1:  # what the classes leave unexplained
-            rest = votes - (p[:, None] * hit + (1 - p)[:, None] * false)
-            sd = rest.std(0) + 1e-9
-            cor = np.abs((rest.T @ rest) / n / sd[:, None] / sd[None, :])
-            np.fill_diagonal(cor, 0)
-            weight = 1 / (1 + np.where(cor > 0.3, cor - 0.3, 0).sum(0))
-        model = LabelModel(float(np.clip(p.mean(), 1e-3, 0.999)), np.clip(hit, 1e-4, 1 - 1e-4), np.clip(false, 1e-5, 1 - 1e-4), weight)
+        cor, weight = model.correlation, model.weight
+        if k >= rounds // 3 and v > 1:
+            within = (p[:, None] * (votes - hit) ** 2 + (1 - p)[:, None] * (votes - false) ** 2).mean(0)
+            cross = ((votes - hit) * p[:, None]).T @ (votes - hit) + ((votes - false) * (1 - p)[:, None]).T @ (votes - false)
+            sd = np.sqrt(within) + 1e-6
+            cor = np.clip(cross / n / sd[:, None] / sd[None, :], 0, 1)
+            cor[cor < 0.3] = 0  # below: chance, at these row counts
+            np.fill_diagonal(cor, 1)
+            weight = np.clip(np.linalg.solve(cor + 0.05 * np.eye(v), np.ones(v) * 1.05), 1 / (cor > 0).sum(1), 1)
+        model = LabelModel(float(np.clip(p.mean(), 1e-3, 0.999)), np.clip(hit, 1e-4, 1 - 1e-4), np.clip(false, 1e-5, 1 - 1e-4), cor, weight)
         p = model.posterior(votes)
     return model
 
@@ -126,7 +141,7 @@ def mine(texts: list[str], y: np.ndarray) -> list[str]:
     for t, label in zip(texts, y, strict=True):
         if not label:
             every.update(f for f in feature_set(set(t.split())) if f in pos)
-    limit = 2 * math.log(max(tried, 2)) + SLACK
+    limit = 2 * math.log(max(tried, 2))
     scored = []
     for f, a in pos.items():
         n = every[f]
@@ -147,21 +162,74 @@ def mine(texts: list[str], y: np.ndarray) -> list[str]:
     return out
 
 
+def bursts(texts: list[str]) -> list[str]:
+    """Beginnings (with #2: at least two different words) that burst, without labels: in two or more texts three different
+    words share it, and that is ten times the count that its rate over all texts would give."""
+    total, heavy, size = Counter(), Counter(), []
+    for t in texts:
+        words = t.split()
+        size.append(len(words))
+        n = Counter(w[:k] for w in words for k in LETTERS[2:] if len(w) >= k)
+        total.update(n)
+        heavy.update(f for f, m in n.items() if m >= 3)
+    length, out = np.array(size, float), []
+    for f, m in heavy.items():
+        if m >= 2:
+            rate = total[f] / length.sum() * length
+            chance = float((1 - np.exp(-rate) * (1 + rate + rate**2 / 2)).sum())
+            if m > BURST * chance:
+                out.append((-m / max(chance, 1e-9), f))
+    return [f"^{f}#2" for _, f in sorted(out)]
+
+
+def telling(features: list[str], sets: list[set[str]], y: np.ndarray) -> list[str]:
+    """Of nested features those that stand for label 1 beyond chance over all that are tried, the longest of equal ones."""
+    rate = float(np.clip(y.mean(), 1e-4, 1 - 1e-4))
+    seen, pos = Counter(), Counter()
+    want = set(features)
+    for s, label in zip(sets, y, strict=True):
+        hit = s & want
+        seen.update(hit)
+        if label:
+            pos.update(hit)
+    scored = []
+    for f in features:
+        n, a = seen[f], pos[f]
+        if a >= 2 and a / n > 1.5 * rate:
+            b = n - a
+            g = 2 * (a * math.log(a / (n * rate)) + (b * math.log(b / (n * (1 - rate))) if b else 0))
+            if g > 2 * math.log(max(len(features), 2)) - SLACK:
+                scored.append((-g, -len(f), f))
+    out, stems = [], set()
+    for _, _, f in sorted(scored):
+        stem = f.strip("^").partition("#")[0]
+        if not any(stem.startswith(s) or s.startswith(stem) for s in stems):
+            out.append(f)
+            stems.add(stem)
+    return out
+
+
 @dataclass
 class Model:
-    """Weights by feature; ANY stands for texts with some feature of `strong`."""
+    """Weights by feature; +1, +2 and +3 stand for so many different lexicon entries in a text, or more."""
 
     weights: dict[str, float]
     bias: float
-    strong: frozenset[str] = frozenset()
+    lexicon: frozenset[str] = frozenset()
+    departure: float = 0.0
 
     def score(self, words: set[str]) -> float:
         """Chance of label 1; words without a known feature change nothing."""
-        found = feature_set(words)
-        z = self.bias + sum(sorted(self.weights[f] for f in found if f in self.weights)) + (0.0 if self.strong.isdisjoint(found) else self.weights.get(ANY, 0.0))
+        found = counted(feature_set(words), self.lexicon)
+        z = self.bias + sum(sorted(self.weights[f] for f in found if f in self.weights))
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
+def counted(found: set[str], lexicon: frozenset[str]) -> set[str]:
+    """found and the marks of how many lexicon entries are in it."""
+    return found | {f"+{k}" for k in range(1, min(3, len(found & lexicon)) + 1)}
+
+
 def _logistic(rows: list[np.ndarray], n: int, target: np.ndarray, rounds: int = 800, rate: float = 1.0, l1: float = 1e-5, l2: float = 1e-6) -> tuple[np.ndarray, float]:
     """Sparse logistic regression on soft targets: proximal gradient with momentum over binary features."""
     doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
@@ -185,44 +253,63 @@ def _logistic(rows: list[np.ndarray], n: int, target: np.ndarray, rounds: int =
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MAX_FIT_ROWS) -> Model:
-    """A model from at most `most` labelled rows, none of them held out (crc32 of the id as text, modulo 4, is 2)."""
+    """A model from at most `most` labelled rows of at most MAX_FIT_BYTES of different words, in the order of a hash of the id.
+
+    None of them is held out (crc32 of the id as text, modulo 4, is 2). Of rows with one id the least text counts, of labels
+    of one id the greatest.
+    """
     lab = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & (F.crc32(F.col(key).cast("string").cast("binary")) % 4 != 2))
-    lab = lab.groupBy(F.col(key)).agg(F.max(F.col(label)).cast("int").alias("__y")).orderBy(F.xxhash64(key), key).limit(most)
-    got = docs.select(F.col(key), F.col(text).alias("__t")).join(F.broadcast(lab), key)  # at most `most` rows
+    lab = lab.groupBy(F.col(key)).agg(F.max(F.col(label)).cast("int").alias("y")).orderBy(F.xxhash64(key), key).limit(most)
+    got = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(lab), key)  # at most `most` ids
+    got = got.groupBy(key).agg(F.min("t").alias("t"), F.max("y").alias("y")).select(F.xxhash64(key).alias("h"), F.col(key).alias("id"), "y", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([" ".join(sorted(all_words(t))) for t in b.column(2).to_pylist()], pa.string())], names=["id", "y", "words"])
+            words = pa.array([" ".join(sorted(all_words(t))) for t in b.column(3).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], words], names=["h", "id", "y", "words"])
 
     ship(docs.sparkSession)
     kind = docs.select(key).schema[0].dataType.simpleString()
-    rows = sorted(got.select(key, "__y", "__t").mapInArrow(run, f"id {kind}, y int, words string").collect())
-    return learn([r["words"] for r in rows], np.array([r["y"] for r in rows], float))
+    rows = written(got.mapInArrow(run, f"h long, id {kind}, y int, words string"), "toxicity-rows")
+    size, last = 0, None
+    for h, n in rows.select("h", F.octet_length("words")).orderBy("h").collect():  # at most `most` rows of two numbers
+        size += n
+        if size > MAX_FIT_BYTES:
+            break
+        last = h
+    if last is None:
+        return learn([], np.zeros(0))
+    some = sorted(rows.where(F.col("h") <= last).collect())
+    return learn([r["words"] for r in some], np.array([r["y"] for r in some], float))
 
 
 def learn(texts: list[str], y: np.ndarray) -> Model:
     """The model from the distinct words of each text (joined by blanks) and labels 0 or 1."""
     texts, y = _apart(texts, y)
     if not len(y) or y.sum() == 0:
-        return Model({s: 1.0 for s in SEEDS} | {ANY: 3.0}, -3.0, frozenset(SEEDS))
-    lexicon = mine(texts, y)[:MOST_FEATURES]
-    top, told = lexicon[:MOST_VOTERS], {*lexicon, *SEEDS, *COPULAS}
+        return Model({s: 1.0 for s in SEEDS} | {"+1": 3.0}, -3.0, frozenset(SEEDS))
+    families, words = bursts(texts), mine(texts, y)
+    told = {*families, *words, *SEEDS, *COPULAS}
     sets = [feature_set(set(t.split())) & told for t in texts]
-    seeds, mined, copulas = set(SEEDS), set(top), set(COPULAS)
-    voters = [
-        *[(lambda s, f=f: f in s) for f in top],
-        lambda s: bool(seeds & s),
-        lambda s: len(mined & s) >= 2,
-        lambda s: bool(mined & s) and bool(copulas & s),
-    ]
-    votes = np.array([[*[bool(v(s)) for v in voters], label > 0] for s, label in zip(sets, y, strict=True)], float)  # the last voter: the annotator
-    target = fit_labels(votes, np.where(y > 0, 0.95, 0.02)).posterior(votes)
-    seen, hits = Counter(f for s in sets for f in s & mined), Counter(f for s, label in zip(sets, y, strict=True) if label for f in s & mined)
-    strong = frozenset([*(f for f in top if hits[f] >= 0.9 * seen[f] and hits[f] >= 4), *SEEDS])
-    index = {f: i for i, f in enumerate(dict.fromkeys([ANY, *lexicon, *SEEDS]))}
-    rows = [np.array(sorted([*(index[f] for f in s if f in index), *[0] * (not strong.isdisjoint(s))]), np.int64) for s in sets]
+    lexicon, stems = [], set()
+    for f in (*words, *telling(families, sets, y), *SEEDS):  # one entry a stem
+        stem = f.strip("^").partition("#")[0]
+        if not any(stem.startswith(s) or s.startswith(stem) for s in stems):
+            lexicon.append(f)
+            stems.add(stem)
+    entries, copulas = frozenset(lexicon), set(COPULAS)
+    sets = [counted(s, entries) for s in sets]
+    patterns = [lambda s: "+2" in s, lambda s: "+3" in s, lambda s: "+1" in s and bool(copulas & s)]
+    columns = [np.array([f in s for s in sets], float) for f in lexicon] + [np.array([v(s) for s in sets], float) for v in patterns]
+    votes = np.stack(columns, axis=1)
+    votes = np.c_[votes[:, votes.any(0)], ~votes.any(1)]  # the last voter: no sign at all
+    if votes[:, -1].all():
+        return Model({s: 1.0 for s in SEEDS} | {"+1": 3.0}, -3.0, frozenset(SEEDS))
+    target = fit_labels(votes, abstain=True).posterior(votes)
+    index = {f: i for i, f in enumerate(["+1", "+2", "+3", *lexicon])}
+    rows = [np.array(sorted(index[f] for f in s if f in index), np.int64) for s in sets]
     w, bias = _logistic(rows, len(index), target)
-    return Model({f: float(w[i]) for f, i in index.items() if w[i]}, bias, strong)
+    return Model({f: float(w[i]) for f, i in index.items() if w[i]}, bias, entries, float(((target >= 0.5) != (y > 0)).mean()))
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", to: str = "score") -> DataFrame:
@@ -232,7 +319,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, memo = {f.partition("#")[0] for f in (*model.weights, *model.strong)}, {}
+        known, memo = {f.partition("#")[0] for f in (*model.weights, *model.lexicon)}, {}
         for b in batches:
             out = []
             for t in b.column(at).to_pylist():
