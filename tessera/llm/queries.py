@@ -26,8 +26,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = warc.write(_table(spark, sf_dir, "pages"))
-    return warc.read(store).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    pages = _table(spark, sf_dir, "pages")
+    store = warc.write(pages)
+    return warc.read(store, captures=warc.find(store, pages)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """WARC archives with a two-level capture index.
 
-Level one: capture lines sorted by reversed-host URL key, in gzip blocks of BLOCK_LINES lines.
-Level two: a sparse directory with one row for each block (first key, last key, file, offset, length).
-A lookup narrows the directory to the blocks that can hold a key, range-reads one block, bisects its
-lines, and range-reads the record itself.
+Level one: capture lines sorted by reversed-host URL key, in gzip blocks of BLOCK_LINES lines. Each index file ends with its
+sparse directory, one line for each block (first key, last key, offset, length).
+Level two: the list of index files (first key, last key, place of the directory), one for each shuffle partition.
+A search bisects the list, range-reads and bisects a directory, range-reads a block, bisects its lines, and range-reads
+the record itself. Many keys are searched in key order, so that a task holds one directory and one block at a time.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from tessera.session import shared_path, shared_root, ship, shuffle_partitions,
 BLOCK_LINES = 512
 ROLL_BYTES = 1 << 30
 CAPTURES = "urlkey string, page_id long, file string, offset long, length long, record_type string, digest string"
-DIRECTORY = "first_key string, last_key string, file string, offset long, length long, lines int"
+DIRECTORY = "first_key string, last_key string, file string, offset long, length long, lines int, foot long, foot_length long"
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
 
 
@@ -39,6 +40,11 @@ class Store:
     captures: DataFrame
     directory: DataFrame
 
+    def files(self) -> list[tuple]:
+        """(first key, last key, file, place and length of its directory) by key: one an index file."""
+        d = self.directory.groupBy("file", "foot", "foot_length").agg(F.min("first_key").alias("a"), F.max("last_key").alias("z"))
+        return sorted((r["a"], r["z"], r["file"], r["foot"], r["foot_length"]) for r in d.collect())  # at most one a shuffle partition
+
 
 def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
@@ -145,9 +151,12 @@ def _indexer(root: str):
                     flush()
         if lines:
             flush()
+        foot = b""
         if out is not None:
+            foot = gzip.compress("\n".join(f"{a}\t{z}\t{o}\t{n}" for a, z, _, o, n, _ in done).encode(), 6, mtime=0)
+            out.write(foot)
             out.close()
-        yield _table(done, DIRECTORY)
+        yield _table([(*d, at, len(foot)) for d in done], DIRECTORY)
 
     return run
 
@@ -195,8 +204,66 @@ def entries(store: Store) -> DataFrame:
     return store.directory.repartition(n, "file", "offset").mapInArrow(run, CAPTURES)
 
 
-def read(store: Store, with_payload: bool = False) -> DataFrame:
-    """Every archived record, range-read at the place that its index entry names.
+class Search:
+    """Binary search over index files; the last directory and block stay in memory."""
+
+    def __init__(self, root: str, files: list[tuple]):
+        self.where, _ = filesystem(root)
+        self.files, self.lasts = files, [f[1] for f in files]
+        self.at = self.block_at = None
+        self.blocks: list[tuple] = []
+        self.ends: list[str] = []
+        self.lines: list[str] = []
+        self.keys: list[str] = []
+
+    def _directory(self, i: int) -> None:
+        if self.at != i:
+            _, _, file, foot, n = self.files[i]
+            text = gzip.decompress(read_range(self.where, file, foot, n)).decode()
+            self.blocks = [(a, z, int(o), int(m)) for a, z, o, m in (x.split("\t") for x in text.split("\n"))]
+            self.ends, self.at = [b[1] for b in self.blocks], i
+
+    def _block(self, i: int, j: int) -> None:
+        if self.block_at != (i, j):
+            _, _, offset, n = self.blocks[j]
+            self.lines = gzip.decompress(read_range(self.where, self.files[i][2], offset, n)).decode().split("\n")
+            self.keys, self.block_at = [x.partition("\t")[0] for x in self.lines], (i, j)
+
+    def find(self, key: str) -> list[tuple]:
+        """Captures of one key, in index order."""
+        out = []
+        for i in range(bisect.bisect_left(self.lasts, key), len(self.files)):
+            if self.files[i][0] > key:
+                break
+            self._directory(i)
+            for j in range(bisect.bisect_left(self.ends, key), len(self.blocks)):
+                if self.blocks[j][0] > key:
+                    break
+                self._block(i, j)
+                out += [entry_of(x) for x in self.lines[bisect.bisect_left(self.keys, key) : bisect.bisect_right(self.keys, key)]]
+        return out
+
+
+def find(store: Store, urls: DataFrame, url: str = "url") -> DataFrame:
+    """Capture lines of all urls of a table, each key once: searched in the two-level index, in key order."""
+    spark = ship(store.directory.sparkSession)
+    root, files = store.root, store.files()
+
+    def keys(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([url_key(u) for u in b.column(0).to_pylist()], pa.string())], names=["k"])
+
+    def run(batches):
+        search = Search(root, files)
+        for b in batches:
+            yield _table([e for k in b.column(0).to_pylist() for e in search.find(k)], CAPTURES)
+
+    k = urls.select(F.col(url).cast("string").alias("u")).distinct().mapInArrow(keys, "k string").distinct()
+    return k.repartitionByRange(shuffle_partitions(spark), "k").sortWithinPartitions("k").mapInArrow(run, CAPTURES)
+
+
+def read(store: Store, with_payload: bool = False, captures: DataFrame | None = None) -> DataFrame:
+    """Every archived record (or those of the given capture lines), range-read at the place that its index entry names.
 
     Entries meet by archive slice of 64 MB, in offset order, so that a task reads forward through few files.
     """
@@ -226,23 +293,17 @@ def read(store: Store, with_payload: bool = False) -> DataFrame:
             f.close()
 
     n = shuffle_partitions(store.directory.sparkSession)
-    placed = entries(store).withColumn("slice", F.floor(F.col("offset") / (64 << 20))).repartition(n, "file", "slice").sortWithinPartitions("file", "offset")
+    placed = (entries(store) if captures is None else captures).withColumn("slice", F.floor(F.col("offset") / (64 << 20))).repartition(n, "file", "slice").sortWithinPartitions("file", "offset")
     return placed.mapInArrow(run, RECORDS)
 
 
 def lookup(spark: SparkSession, store: Store, url: str) -> list[dict]:
-    """Captures of one url: directory, one block (or the few that share the key), bisection, record range reads."""
-    key = url_key(url)
-    where, _ = filesystem(store.root)
-    out = []
-    for d in store.directory.where((F.col("first_key") <= key) & (F.col("last_key") >= key)).orderBy("first_key", "file", "offset").toLocalIterator():
-        lines = gzip.decompress(read_range(where, d["file"], d["offset"], d["length"])).decode().split("\n")
-        keys = [x.split("\t", 1)[0] for x in lines]
-        for line in lines[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]:
-            _, page, file, offset, length, kind, _ = entry_of(line)
-            got = parse(gzip.decompress(read_range(where, file, offset, length)))
-            out.append({"page_id": page, "record_type": kind, "payload": got["payload"], "url": got["head"].get("WARC-Target-URI")})
+    """Captures of one url, found by the two-level search, and their records."""
+    search, out = Search(store.root, store.files()), []
+    for _, page, file, offset, length, kind, _ in search.find(url_key(url)):
+        got = parse(gzip.decompress(read_range(search.where, file, offset, length)))
+        out.append({"page_id": page, "record_type": kind, "payload": got["payload"], "url": got["head"].get("WARC-Target-URI")})
     return out
 
 
-__all__ = ["Store", "entries", "lookup", "read", "shared_root", "url_key", "write"]
+__all__ = ["Store", "Search", "entries", "find", "lookup", "read", "shared_root", "url_key", "write"]
