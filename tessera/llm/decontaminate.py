@@ -8,10 +8,11 @@ offset; exact phrases need every list to agree, proximity matches allow each ter
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ from tessera.session import ship, written
 
 WINDOW = 10
 SHARD_BYTES = 4 << 20
-#: Test items are sent to all tasks in blocks of at most this many bytes of text; more blocks mean more passes.
+#: Test items are sent to all tasks in blocks of about this many bytes of text; a worker holds one block at a time.
 BLOCK_BYTES = 8 << 20
 _WORDS = bytes(32 if c < 48 or 58 <= c < 65 or 91 <= c < 97 or 123 <= c < 128 else c + 32 if 65 <= c < 91 else c for c in range(256))
 INDEX = "shard long, keys binary, nulls binary, sizes binary, counts array<int>, terms binary, positions binary"
@@ -41,8 +42,9 @@ class Items:
     ids: list  # distinct item ids
 
 
-def items_of(rows: list[tuple], width: int = WINDOW) -> Items:
-    terms: dict[bytes, int] = {}
+def items_of(rows: list[tuple], width: int = WINDOW, terms: dict[bytes, int] | None = None) -> Items:
+    """Windows of the rows (item id, text). Terms are numbered in `terms`, which may be shared by several blocks."""
+    terms = {} if terms is None else terms
     ids: dict = {}
     grids, owners = [np.zeros((0, width), np.int32)], [np.zeros(0, np.int64)]
     for item, text in rows:
@@ -113,15 +115,16 @@ def hits(items: Items, sizes: np.ndarray, counts: np.ndarray, positions: np.ndar
     return np.cumsum(delta)[:-1] > 0, [[items.ids[i] for i in sorted(f)] for f in found]
 
 
-def blocks(benchmark: DataFrame, item: str, text: str, width: int) -> Iterator[Items]:
+def blocks(benchmark: DataFrame, item: str, text: str, width: int, terms: dict[bytes, int]) -> Iterator[Items]:
+    """The items in blocks, their terms numbered across all blocks."""
     rows, size = [], 0
     for r in benchmark.select(F.col(item), F.col(text)).toLocalIterator():
         rows.append(tuple(r))
         size += len((r[1] or "").encode("utf-8", "surrogatepass"))
         if size >= BLOCK_BYTES:
-            yield items_of(rows, width)
+            yield items_of(rows, width, terms)
             rows, size = [], 0
-    yield items_of(rows, width)
+    yield items_of(rows, width, terms)
 
 
 def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
@@ -135,14 +138,14 @@ def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield at, len(texts)
 
 
-def build(docs: DataFrame, items: Items, key: str = "doc_id", text: str = "text", slop: int = 0) -> DataFrame:
+def build(docs: DataFrame, terms: dict[bytes, int], key: str = "doc_id", text: str = "text", slop: int = 0) -> DataFrame:
     """INDEX rows, a shard each, written to the shared folder: document keys and sizes, postings by term."""
     from pyspark import TaskContext
 
-    terms = items.terms
+    sent = docs.sparkSession.sparkContext.broadcast(terms)  # the distinct words of the test items
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = 0
+        n, terms = 0, sent.value
         for b in batches:
             ids, texts = b.column(0), b.column(1).to_pylist()
             for i, j in _slices(texts):
@@ -180,7 +183,7 @@ def rarity(index: DataFrame, n_terms: int) -> np.ndarray:
 OUT = "key long, n_words long, n_hit long, items array<{kind}>, begin array<int>, stop array<int>"
 
 
-def _digest(keys: list, sizes: np.ndarray, mask: np.ndarray, found: list[list], slop: int) -> pa.RecordBatch:
+def _digest(keys: list, sizes: np.ndarray, mask: np.ndarray, found: list[list], slop: int, kind: str) -> pa.RecordBatch:
     begins = np.cumsum(sizes + spacing(slop)) - sizes - spacing(slop)
     n_hit, begin, stop = [], [], []
     for a, n in zip(begins.tolist(), sizes.tolist(), strict=True):
@@ -190,48 +193,36 @@ def _digest(keys: list, sizes: np.ndarray, mask: np.ndarray, found: list[list],
         begin.append(turn[::2].tolist())
         stop.append(turn[1::2].tolist())
     ints = pa.list_(pa.int32())
-    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(begin, ints), pa.array(stop, ints)], names=["key", "n_words", "n_hit", "items", "begin", "stop"])
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(found, pa.list_(pa.int64() if kind == "bigint" else pa.string())), pa.array(begin, ints), pa.array(stop, ints)], names=["key", "n_words", "n_hit", "items", "begin", "stop"])
+
 
+def search(index: DataFrame, parts: list[Broadcast], n_terms: int, kind: str, slop: int = 0) -> DataFrame:
+    """key, n_words, n_hit, items (ids), begin and stop (word spans) for each document of an index built with this slop.
 
-def search(index: DataFrame, items: Items, slop: int = 0) -> DataFrame:
-    """key, n_words, n_hit, items (ids), begin and stop (word spans) for each document of an index built with this slop."""
-    rare = rarity(index, len(items.terms))
+    parts: blocks of items over the index's term numbers. Each shard is searched for one block after the other.
+    """
+    rare = rarity(index, n_terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
                 sizes = np.frombuffer(r["sizes"], np.int64)
-                counts = np.zeros(len(items.terms), np.int64)
+                counts = np.zeros(n_terms, np.int64)
                 counts[np.frombuffer(r["terms"], np.int32)] = r["counts"]
                 positions = np.cumsum(np.frombuffer(r["positions"], np.int32), dtype=np.int64)
-                mask, found = hits(items, sizes, counts, positions, rare, slop)
+                mask, found = np.zeros(int((sizes + spacing(slop)).sum()), bool), [{} for _ in sizes]
+                for sent in parts:
+                    m, f = hits(sent.value, sizes, counts, positions, rare, slop)
+                    mask |= m
+                    for to, more in zip(found, f, strict=True):
+                        to.update(dict.fromkeys(more))
+                    if len(parts) > 1:
+                        vars(sent).pop("_value", None)  # the next block takes its room
                 null = np.unpackbits(np.frombuffer(r["nulls"], np.uint8), count=len(sizes))
                 keys = [None if z else k for k, z in zip(np.frombuffer(r["keys"], np.int64).tolist(), null, strict=True)]
-                yield _digest(keys, sizes, mask, found, slop)
-
-    return index.mapInArrow(run, OUT.format(kind="bigint"))
-
-
-def _in_passes(docs: DataFrame, parts: list[Items], key: str, text: str, slop: int) -> DataFrame:
-    """Several blocks of items: each task indexes its slices for one block after the other; blocks lie in broadcasts."""
-    sent = [docs.sparkSession.sparkContext.broadcast(x) for x in parts]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for i, j in _slices(texts):
-                mask, found = None, [[] for _ in range(j - i)]
-                for s in sent:
-                    items = s.value
-                    sizes, counts, positions = shard(texts[i:j], items.terms, slop)
-                    m, f = hits(items, sizes, counts, positions, counts, slop)
-                    mask = m if mask is None else mask | m
-                    for to, more in zip(found, f, strict=True):
-                        to += more
-                yield _digest(keys[i:j], sizes, mask, [list(dict.fromkeys(f)) for f in found], slop)
+                yield _digest(keys, sizes, mask, [list(f) for f in found], slop, kind)
 
-    ship(docs.sparkSession)
-    return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, OUT.format(kind="bigint"))
+    return index.mapInArrow(run, OUT.format(kind=kind))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", width: int = WINDOW, slop: int = 0) -> DataFrame:
@@ -239,9 +230,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
 
     A window is width consecutive item words; a shorter item, if not empty, is one window. Null text has no words.
     slop > 0 gives proximity matches: each term may stand up to slop words off its place, in one document. Rows that
-    repeat each come back; items of one id count once; null keys stay null; other columns are ignored; an empty
-    benchmark hits nothing.
+    repeat each come back; items of one id count once (item ids that are no integers come back as strings); null keys stay
+    null; other columns are ignored; an empty benchmark hits nothing. Keys are integers.
+
+    One way for every size of benchmark: its distinct words are numbered, one index of their postings is written, and all
+    blocks of items are searched in that index by its global counts. The driver holds the words and one block.
     """
-    parts = list(blocks(benchmark.select(F.col(item).cast("long").alias(item), F.col(item_text)), item, item_text, width))
-    out = search(build(docs, parts[0], key, text, slop), parts[0], slop) if len(parts) == 1 else _in_passes(docs, parts, key, text, slop)
+    ship(docs.sparkSession)
+    kind = "bigint" if benchmark.schema[item].dataType.typeName() in ("byte", "short", "integer", "long") else "string"
+    terms: dict[bytes, int] = {}
+    send = docs.sparkSession.sparkContext.broadcast
+    parts = [send(replace(x, terms={})) for x in blocks(benchmark.select(F.col(item).cast(kind).alias("i"), F.col(item_text).alias("t")), "i", "t", width, terms)]
+    out = search(build(docs, terms, key, text, slop), parts, len(terms), kind, slop)
     return out.withColumnRenamed("key", key)
