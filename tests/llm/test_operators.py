@@ -16,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.llm import components, decontaminate, mpegts, packing, prefixfree, queries, secrets, simhash, toxicity, urlfilter, warc, wordpiece
+from tessera.llm import components, decontaminate, mpegts, packing, prefixfree, queries, secrets, simhash, toxicity, urlfilter, warc, wordcopies, wordpiece
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, data string, fp string, batch string, score string"
 
@@ -85,6 +85,20 @@ def test_warc_lookup_over_blocks(spark):
         assert [x["page_id"] for x in warc.lookup(spark, store, f"http://h{i % 7}.org/{i}")] == [i]
 
 
+def test_warc_search_bisects(spark, monkeypatch):
+    """Every key is found among blocks, files and runs of equal keys; a search reads one directory and few blocks."""
+    df = spark.range(4000).select(F.col("id").alias("page_id"), F.when(F.col("id") % 3 == 0, "http://same.org/").otherwise(F.concat(F.lit("http://h"), F.col("id") % 11, F.lit(".org/"), F.col("id"))).alias("url"), F.lit("x").alias("html"))
+    store = warc.write(df)
+    assert sorted(r.page_id for r in warc.find(store, df).collect()) == list(range(4000))
+    assert len(warc.find(store, df.where("page_id % 3 = 0").limit(1)).collect()) == 1334
+    reads = []
+    real = warc.read_range
+    monkeypatch.setattr(warc, "read_range", lambda *a: reads.append(a) or real(*a))
+    s = warc.Search(store.root, store.files())
+    assert [e[1] for e in s.find(warc.url_key("http://h5.org/3998"))] == [3998] and len(reads) <= 4
+    assert s.find("zzz") == [] and s.find("") == []
+
+
 # 2 -----------------------------------------------------------------------------------------------------------------
 
 SECRET_TEXTS = [
@@ -178,6 +192,35 @@ def test_url_model_learns_its_table():
     assert ok / len(urlfilter.LABELLED) >= 0.95
 
 
+def url_score(url):
+    w, bias = urlfilter.fit()
+    host, path = urlfilter.host_of(url)
+    return sum(w[g] for g in urlfilter.ngrams("^" + host + "$") + urlfilter.ngrams(path)) / max(1, len(host) + max(len(path) - 2, 0)) + bias
+
+
+def test_url_model_on_held_out_urls():
+    assert not set(urlfilter.HELD_OUT) & set(urlfilter.LABELLED)
+    said = [(url_score(u) >= 0, y) for u, y in urlfilter.HELD_OUT]
+    caught, blocked, bad = sum(s and y for s, y in said), sum(s for s, _ in said), sum(y for _, y in said)
+    assert bad >= 150 and caught / bad >= 0.9 and caught / blocked >= 0.9
+
+
+def test_url_model_decides_by_words(spark):
+    """Both kinds share subdomains, ends and paths; unruled hosts of advertised goods are blocked, others allowed."""
+    ends = {y: {u.split("/")[2].rsplit(".", 1)[1] for u, z in urlfilter.LABELLED if z == y} for y in (0, 1)}
+    assert ends[0] == ends[1]
+    got = urlfilter.judge(spark.read.parquet("/root/testdata/sf0.1/pages.parquet")).where("rule IS NULL").select("host", "verdict").collect()
+    told = [(any(x in r.host for x in ("casino", "pills", "bets", "adult")), r.verdict == "block") for r in got]
+    bad, fine = [v for k, v in told if k], [v for k, v in told if not k]
+    assert len(bad) > 30 and sum(bad) / len(bad) >= 0.9 and sum(fine) / len(fine) <= 0.05
+
+
+def test_url_filter_keeps_other_columns_and_long_urls(spark):
+    df = spark.createDataFrame([(1, "http://a.net/" + "x" * 100_000, "c", "d"), (1, "http://a.net/" + "x" * 100_000, "c", "d")], "page_id long, url string, judged string, `__raw` string")
+    rows = urlfilter.judge(df).collect()
+    assert rows[0] == rows[1] and (rows[0]["judged"], rows[0]["__raw"]) == ("c", "d") and len(rows[0].path) == 100_001
+
+
 # 4 -----------------------------------------------------------------------------------------------------------------
 
 
@@ -261,6 +304,36 @@ def test_toxicity_cases(spark, docs, empty):
     assert toxicity.score(empty, m).count() == 0
 
 
+def test_toxicity_held_out_with_few_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    got = queries.op5_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
+    tp = sum(r.predicted == 1 and r.toxic == 1 for r in got)
+    assert tp / sum(r.toxic for r in got) >= 0.9 and tp / max(1, sum(r.predicted for r in got)) >= 0.9
+
+
+def test_toxicity_rescored_by_hand(spark, sf):
+    """Every score from the fitted weights, by a plain reading of whole texts."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    m = toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    assert m.departure < 0.1
+    entries = [re.fullmatch(r"(\^?)([^#]+)(?:#(\d))?", f).groups() for f in sorted(m.lexicon)]
+    for r in toxicity.score(docs, m).collect():
+        words = {w for w in re.findall(r"[^\W\d_]+", (r.text or "").lower())}
+        on = [sum(w.startswith(stem) if begin else w == stem for w in words) >= int(least or 1) for begin, stem, least in entries]
+        z = m.bias + sum(m.weights.get(f, 0.0) for f, v in zip(sorted(m.lexicon), on) if v) + sum(m.weights.get(f"+{k}", 0.0) for k in (1, 2, 3) if sum(on) >= k)
+        assert abs(r.score - 1 / (1 + np.exp(-max(-40, min(40, z))))) < 1e-9
+
+
+def test_toxicity_scores_of_edge_texts(spark):
+    m = toxicity.Model({"idiot": 3.0, "+1": 1.0}, -2.0, frozenset({"idiot"}))
+    texts = [None, "", " ", "you idiot", "YOU IDIOT!", "fine " * 200_000 + "idiot", "you idiot"]
+    got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(rows_of(texts), DOCS), m, to="rated").select("doc_id", F.col("rated").alias("score")).collect()}
+    base, bad = 1 / (1 + np.exp(2)), 1 / (1 + np.exp(-2))
+    assert [round(got[i], 9) for i in range(7)] == [round(x, 9) for x in (base, base, base, bad, bad, bad, bad)]
+    twice = spark.createDataFrame([(1, "idiot"), (1, "idiot"), (None, "idiot")], "doc_id long, text string")
+    assert toxicity.score(twice, toxicity.fit(twice, spark.createDataFrame([(1, 1), (1, 0), (None, 1)], "doc_id long, toxic int"))).count() == 3
+
+
 def test_label_model_finds_accuracies():
     rng = np.random.default_rng(0)
     y = rng.random(4000) < 0.2
@@ -360,6 +433,41 @@ def test_mpeg_ts_large_and_damaged():
     assert mpegts.crc32_mpeg(b"123456789") == 0x0376E6E7
 
 
+def packet(pid, cc, payload=b"", start=False, field=None):
+    """One transport packet; field: adaptation bytes after the length, stuffed to fit."""
+    room = 184 - len(payload)
+    adapt = b""
+    if room or field is not None:
+        body = (field or (b"\x00" if room > 1 else b""))
+        adapt = bytes([room - 1]) + body + b"\xff" * (room - 1 - len(body))
+    flags = (0x20 if adapt else 0) | (0x10 if payload else 0)
+    return bytes([0x47, (0x40 if start else 0) | pid >> 8, pid & 255, flags | cc]) + adapt + payload
+
+
+def table(pid, ident, body):
+    head = bytes([ident]) + (0xB000 | (len(body) + 9)).to_bytes(2, "big") + b"\x00\x01\xc1\x00\x00" + body
+    whole = b"\x00" + head + mpegts.crc32_mpeg(head).to_bytes(4, "big")
+    return packet(pid, 0, whole.ljust(184, b"\xff"), True)
+
+
+def test_mpeg_ts_foreign_streams():
+    """A network entry, program and element descriptors, two elements, repeated, empty and early packets."""
+    pat = table(0, 0, (0).to_bytes(2, "big") + (0xE010).to_bytes(2, "big") + (7).to_bytes(2, "big") + (0xE000 | 0x55).to_bytes(2, "big"))
+    pmt = table(0x55, 2, b"\xe0\x66" + b"\xf0\x03" + b"\x05\x01\x00" + b"\x1b\xe0\x70\xf0\x02\x0a\x00" + b"\x06\xe0\x66\xf0\x00")
+    pes = b"\x00\x00\x01\xbd" + (8 + 300).to_bytes(2, "big") + b"\x84\x80\x05" + mpegts._stamp(90_000, 2) + bytes(range(250)) + b"z" * 50
+    a, b = packet(0x66, 3, pes[:184], True), packet(0x66, 4, pes[184:])
+    early, idle = packet(0x66, 2, b"q" * 184), packet(0x66, 4, field=b"\x00")
+    got = mpegts.demux(pat + pmt + packet(0x70, 0, b"v" * 184, True) + early + a + a + b + idle)
+    assert (got["payload"], got["pts"], got["gaps"], got["orphans"], got["pid"]) == (bytes(range(250)) + b"z" * 50, [90_000], 0, 1, 0x66)
+    assert mpegts.demux(pat + pmt + a + packet(0x66, 9, pes[184:]))["gaps"] == 1
+    assert mpegts.demux(pat + pmt + a + packet(0x66, 9, pes[184:], field=b"\x80"))["gaps"] == 0
+    assert mpegts.demux(b"")["payload"] == b"" and mpegts.demux(early)["pid"] is None
+    with pytest.raises(ValueError):
+        mpegts.demux(pat[:-1] + b"")
+    with pytest.raises(ValueError):
+        mpegts.demux(pat[:20] + b"\x00" + pat[21:])
+
+
 def test_mpeg_ts_rows(docs, corpus, empty):
     texts = dict(corpus)
     for r in mpegts.describe(docs).collect():
@@ -485,6 +593,20 @@ def test_decontamination_empty_and_proximity(spark, empty):
     assert {r.n_hit for r in decontaminate.contamination(df, bench.limit(0)).collect()} == {0}
 
 
+@pytest.mark.parametrize("block", [1, 8 << 20])
+def test_decontamination_text_ids_and_one_index(spark, monkeypatch, block):
+    """Item ids of any type; one index and the same result for any number of blocks."""
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    line = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"
+    docs = spark.createDataFrame([(1, "x " + line + " y", "t"), (2, None, "t"), (2, "short one", "t"), (None, "lambda " * 50_000 + line, "t")], "doc_id long, text string, term string")
+    bench = spark.createDataFrame([("b", line), ("a", line.upper()), ("a", "short one"), (None, "never seen"), ("c", None)], "item_id string, text string")
+    made = []
+    real = decontaminate.build
+    monkeypatch.setattr(decontaminate, "build", lambda *a: made.append(1) or real(*a))
+    got = {(r.doc_id, r.n_words): (r.n_hit, sorted(r["items"])) for r in decontaminate.contamination(docs, bench).collect()}
+    assert got == {(1, 13): (11, ["a", "b"]), (2, 0): (0, []), (2, 2): (2, ["a"]), (None, 50_011): (11, ["a", "b"])} and len(made) == 1
+
+
 @pytest.mark.parametrize("block", [1 << 25, 40])
 def test_decontamination_slop_stays_in_documents_and_items_repeat(spark, monkeypatch, block):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
@@ -558,7 +680,10 @@ def test_pipeline_stages(spark, sf):
     text = {r.doc_id: r.text for r in docs.collect()}
     kept = {r.doc_id for r in S["simhash_near_dedup"](spark, docs, sf).collect()}
     comp = brute_components({i: brute_fp(t) for i, t in text.items()})
-    assert kept == {i for i in comp if comp[i] == i}
+    near = brute_near({i: text[i] for i in comp if comp[i] == i})
+    assert kept <= {i for i in comp if comp[i] == i} and not any(a in kept and b in kept for a, b in near)
+    assert all(i in {b for _, b in near} for i in comp if comp[i] == i and i not in kept)
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash_near_dedup", "benchmark_decontamination", "secret_scans", "packing"]
     clean = {r.doc_id for r in S["benchmark_decontamination"](spark, docs, sf).collect()}
     assert clean == {i for i, t in text.items() if not brute_hits(t, bench)[1]}
     masked = {r.doc_id: r.text for r in S["secret_scans"](spark, docs, sf).collect()}
@@ -587,7 +712,6 @@ def test_pipeline_drops_edited_copies(spark, sf):
 
 
 def test_edited_copies(spark):
-    corpus_pipeline = pytest.importorskip("corpus_pipeline")
     rng = random.Random(5)
     text = {0: None, 1: "", 2: "a b", 3: "A  b", 4: "a b c"}
     for g in range(12):  # groups of 1 to 34 copies with few to many edits, on one common passage
@@ -600,11 +724,27 @@ def test_edited_copies(spark):
     near = brute_near(text)
     rows = [(i, t, "en", "s", 0) for i, t in text.items()] + [(None, text[30], "en", "s", 0)] * 2
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
-    kept = [r.doc_id for r in dict(corpus_pipeline.STAGES)["edited_copies"](spark, docs, "").collect()]
-    gone = set(text) - set(kept)
-    assert kept.count(None) == 2 and len(near) > 100 and 3 in gone
+    gone = {r.id for r in wordcopies.superfluous(docs).collect()}
+    kept = set(text) - gone
+    assert None not in gone and len(near) > 100 and 3 in gone
     assert not any(a in kept and b in kept for a, b in near) and gone <= {b for _, b in near}
-    assert dict(corpus_pipeline.STAGES)["edited_copies"](spark, docs.limit(0), "").count() == 0
+    assert wordcopies.superfluous(docs.limit(0)).count() == 0
+
+
+def test_pipeline_stage_cases(spark, sf):
+    """Repeated ids, null ids and texts, no lang or source, very long texts."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    S = dict(corpus_pipeline.STAGES)
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(1, "one two three four five six"), (1, "one two three four five six"), (1, "another text of the same id here"), (2, None), (3, ""), (None, "x y z u v w"), (None, None), (4, long), (5, long + " end"), (6, "password=hunter22x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    near = sorted((r.doc_id or -1, r.text or "") for r in S["simhash_near_dedup"](spark, docs, sf).collect())
+    assert [i for i, _ in near].count(1) == 1 and (4, long) in near and 5 not in [i for i, _ in near] and 2 in [i for i, _ in near] and 3 not in [i for i, _ in near]
+    for name in ("toxicity", "benchmark_decontamination", "secret_scans"):
+        out = S[name](spark, docs, sf)
+        assert out.columns == ["doc_id", "text"] and out.count() == len(rows), name
+    assert [r.text for r in S["secret_scans"](spark, docs, sf).where("doc_id = 6").collect()] == ["[SECRET]"]
+    assert S["packing"](spark, docs, sf).select("doc_id").distinct().count() == 7
 
 
 @pytest.mark.parametrize("d", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
