@@ -1,4 +1,10 @@
-"""Training corpus pipeline: toxicity, near-duplicates, benchmark passages, secrets, edited copies, packing."""
+"""Training corpus pipeline: toxicity, near-duplicates, benchmark passages, secrets, packing.
+
+Every stage but the last returns the columns of documents (those of COLUMNS that its input has; others are left out). Null and
+empty texts pass toxicity, contamination and secrets; of all texts without words the near-duplicate stage keeps one.
+Texts of any length are read whole. Rows with a null doc_id pass every filter but their own toxicity. Rows that repeat a
+doc_id share its fate, and the near-duplicate stage leaves one of them (the least text). Empty in, empty out.
+"""
 
 from __future__ import annotations
 
@@ -12,37 +18,53 @@ from tessera.session import written
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _columns(docs: DataFrame) -> list[str]:
+    return [c for c in COLUMNS if c in docs.columns]
+
+
+def _same(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), how)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is 0.3 or more go."""
+    docs = docs.select(*_columns(docs))
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs.select(*COLUMNS), model, to="__score").where(F.col("__score") < toxicity.THRESHOLD).select(*COLUMNS)
+    return toxicity.score(docs, model, to="__score").where(F.col("__score") < toxicity.THRESHOLD).drop("__score")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays; a group of null ids stays whole."""
-    groups = simhash.near_duplicates(docs)
+    """Of each group of near copies the document with the smallest id stays; a group of null ids stays whole.
+
+    Fingerprints (3-word shingles, 2 bits) group exact and almost exact copies; on what they leave, every pair with a
+    five-word Jaccard similarity of 0.8 or more loses its larger id.
+    """
+    docs = docs.select(*_columns(docs))
+    groups = written(simhash.near_duplicates(docs), "near-groups")
+    again = groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    names = [F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("row")]
+    once = _same(docs, again, "left_semi").groupBy("doc_id").agg(*names).select("doc_id", "row.*").select(*docs.columns)
     kept = groups.where("doc_id = component_id OR component_id IS NULL").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    left = written(_same(_same(docs, again, "left_anti").unionByName(once), kept, "left_semi"), "near-left")
+    gone = wordcopies.superfluous(left)
+    return left.join(gone, left["doc_id"] == gone["id"], "left_anti")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark window go."""
+    docs = docs.select(*_columns(docs))
     found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    hit = found.where("n_hit > 0").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(hit, docs["doc_id"].eqNullSafe(hit["doc_id"]), "left_anti")
+    return _same(docs, found.where("n_hit > 0").select("doc_id").distinct(), "left_anti")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked in place; documents without any stay as they are."""
-    out = secrets.redact(docs.select(*COLUMNS).withColumn("__was", F.col("text")))
-    changed = ~F.col("text").eqNullSafe(F.col("__was"))
-    return out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
-
-
-def drop_edited_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies by words (five-word Jaccard of 0.8 or more) those with larger ids go; null ids stay."""
-    gone = wordcopies.superfluous(docs)
-    return docs.select(*COLUMNS).join(gone, docs["doc_id"] == gone["id"], "left_anti")
+    """Secrets are masked in place, and n_chars follows; documents without any stay as they are."""
+    docs = docs.select(*_columns(docs))
+    out = secrets.redact(docs.withColumn("__was", F.col("text")))
+    if "n_chars" in docs.columns:
+        changed = ~F.col("text").eqNullSafe(F.col("__was"))
+        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +77,6 @@ STAGES = [
     ("simhash_near_dedup", drop_near_duplicates),
     ("benchmark_decontamination", drop_contaminated),
     ("secret_scans", mask_secrets),
-    ("edited_copies", drop_edited_copies),
     ("packing", pack_sequences),
 ]
 
