@@ -47,3 +47,12 @@ def normalized(a: Column) -> Column:
 
 
 METRICS = {"l2": l2, "l2_squared": l2_squared, "cosine": cosine, "inner_product": negative_dot}
+#: Metrics whose underlying measure grows with likeness; distances here always ascend.
+SIMILARITIES = ("cosine", "inner_product")
+
+
+def is_similarity(metric: str) -> bool:
+    """Whether the measure behind a metric is a similarity; METRICS turns it into a distance either way."""
+    if metric not in METRICS:
+        raise ValueError(f"no metric {metric}")
+    return metric in SIMILARITIES

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.running import rolling
 from tessera.session import small_side
 
 #: rule_ord, rule_id, severity, enabled, pattern, threshold
@@ -36,10 +37,9 @@ def route(found: DataFrame) -> DataFrame:
 
 def zscore(df: DataFrame, key: str, order: str, value: str, limit: float = 2.0, last: int = 1000, least: int = 10) -> DataFrame:
     """df with anomalous: beyond limit population deviations of the `last` earlier values; too few or equal ones: false."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(-last, -1)
-    d = df.withColumn("__n", F.count(value).over(w)).withColumn("__m", F.avg(value).over(w)).withColumn("__s", F.stddev_pop(value).over(w))
-    hit = (F.col("__n") >= least) & (F.col("__s") > 0) & (F.abs(F.col(value) - F.col("__m")) > limit * F.col("__s"))
-    return d.withColumn("anomalous", F.coalesce(hit, F.lit(False))).drop("__n", "__m", "__s")
+    d = rolling(df, key, order, value, last)
+    hit = (F.col("n") >= least) & (F.col("sd") > 0) & (F.abs(F.col(value) - F.col("mean")) > limit * F.col("sd"))
+    return d.select(*df.columns, F.coalesce(hit, F.lit(False)).alias("anomalous"))
 
 
 def samples(events: DataFrame) -> DataFrame:

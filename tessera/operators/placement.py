@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,36 +56,50 @@ def gang(jobs: DataFrame, devices: DataFrame, pool: str = "pool") -> DataFrame:
     return jobs.groupBy(pool).cogroup(devices.groupBy(pool)).applyInPandas(run, "job_id long, gpu_ids array<long>")
 
 
+def _in_turn(df: DataFrame, key: str, order: list[str], start, step, to: str, kind: str) -> DataFrame:
+    """df with `to`: what step(state, row) gives for each row of a key in turn, the state going on from row to row.
+
+    Each row depends on decisions about earlier ones, so a key stays in one task; rows are streamed through it in sorted
+    batches, and one state is held, never the rows of a key. A null key is a key of its own.
+    """
+
+    def run(batches):
+        last, state = object(), None
+        for b in batches:
+            out = []
+            for r in b.itertuples(index=False):
+                k = getattr(r, key)
+                k = None if k != k else k
+                if k != last:
+                    last, state = k, start
+                state, got = step(state, r)
+                out.append(got)
+            yield b.assign(**{to: out})
+
+    ship(df.sparkSession)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, f"{fields}, `{to}` {kind}")
+
+
 def cooldown(events: DataFrame, key: str, micros: str, pause_micros: int) -> DataFrame:
     """events with fired: an event fires if the last one that fired for its key is at least the pause before it."""
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p, last, out = p.sort_values([micros, "event_id"]), None, []
-        for t in p[micros]:
-            go = last is None or t - last >= pause_micros
-            last = t if go else last
-            out.append(go)
-        return p.assign(fired=out)
+    def step(last, r):
+        t = getattr(r, micros)
+        go = last is None or t - last >= pause_micros
+        return (t if go else last), go
 
-    ship(events.sparkSession)
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.schema)
-    return events.groupBy(key).applyInPandas(run, f"{fields}, fired boolean")
+    return _in_turn(events, key, [micros, "event_id"], None, step, "fired", "boolean")
 
 
 def segments(records: DataFrame, cap: int) -> DataFrame:
     """records (part, off, size_bytes) with segment_id: a segment closes when its bytes reach cap; the next starts at 0."""
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p, out, seg, used = p.sort_values("off"), [], 0, 0
-        for n in p["size_bytes"]:
-            out.append(seg)
-            used += n
-            if used >= cap:
-                seg, used = seg + 1, 0
-        return p.assign(segment_id=out)[["part", "off", "size_bytes", "segment_id"]]
+    def step(state, r):
+        seg, used = state[0], state[1] + r.size_bytes
+        return ((seg + 1, 0) if used >= cap else (seg, used)), seg
 
-    ship(records.sparkSession)
-    return records.select("part", "off", "size_bytes").groupBy("part").applyInPandas(run, "part long, off long, size_bytes long, segment_id long")
+    return _in_turn(records.select("part", "off", "size_bytes"), "part", ["off"], (0, 0), step, "segment_id", "long")
 
 
 def erasure(shards: DataFrame) -> DataFrame:
@@ -131,6 +147,96 @@ def erasure_encode(objects: DataFrame, parts: int = 4, parity: int = 2) -> DataF
     return objects.select("object_id", "data").mapInPandas(run, "object_id long, shard int, is_parity boolean, size long, data binary")
 
 
+#: Levels of a hash tree that one task folds: blocks of 2^FOLD leaves.
+FOLD = 10
+
+
+def _fold(leaves: DataFrame, levels: int) -> DataFrame:
+    """idx, tree, n: each block of 2^levels consecutive nodes as its levels, nodes end to end, root last.
+
+    A block has at most 2^levels nodes, so it is bounded; the last block is as high as the others, its unpaired nodes
+    paired with themselves.
+    """
+    size = 1 << levels
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        nodes = p.sort_values("idx")["h"].tolist()
+        n, tree = len(nodes), list(nodes)
+        for _ in range(levels):
+            nodes = [hashlib.sha256((nodes[i] + nodes[min(i + 1, len(nodes) - 1)]).encode()).hexdigest() for i in range(0, len(nodes), 2)]
+            tree += nodes
+        return pd.DataFrame([(int(p["b"].iloc[0]), tree, n)], columns=["idx", "tree", "n"])
+
+    ship(leaves.sparkSession)
+    return leaves.select("idx", "h", F.expr(f"idx div {size}").alias("b")).groupBy("b").applyInPandas(lambda p: run(p), "idx long, tree array<string>, n int")
+
+
+def _heights(n: int) -> list[int]:
+    """Levels to fold at each step, from n nodes to one."""
+    out = []
+    while n > 1:
+        levels = min(FOLD, (n - 1).bit_length())
+        out.append(levels)
+        n = -(-n // (1 << levels))
+    return out
+
+
+def merkle_root(leaves: DataFrame) -> DataFrame:
+    """h: the root of the hash tree over (idx, h), idx from 0 without gaps; one shuffle for each FOLD levels."""
+    at = leaves.select("idx", "h")
+    for levels in _heights(leaves.count()):
+        at = _fold(at, levels).select("idx", F.element_at("tree", -1).alias("h"))
+    return at.select("h")
+
+
+def merkle_check(leaves: DataFrame, root: DataFrame | None = None, claims: DataFrame | None = None) -> DataFrame:
+    """idx, ok: every leaf's proof followed to the root (h; the tree's own if none is given), within blocks.
+
+    claims (idx, h): these are checked instead of the leaves themselves, each index once; one beyond the tree gives no row.
+
+    Siblings of a leaf lie in its block, so that a step follows FOLD levels in one task; a block's own root is then a
+    leaf of the next step, and its answer holds for the whole block.
+    """
+    steps, at = _heights(leaves.count()), leaves.select("idx", "h")
+    found = []
+    for levels in steps:
+        trees = written(_fold(at, levels), "merkle")
+        found.append((levels, trees))
+        at = trees.select("idx", F.element_at("tree", -1).alias("h"))
+    top = at.select(F.col("h").alias("root")) if root is None else root.select(F.col("h").alias("root"))
+    good = at.join(F.broadcast(top)).select("idx", (F.col("h") == F.col("root")).alias("ok"))  # one row
+
+    def follow(levels: int):
+        def run(batches):
+            for b in batches:
+                for t in b.itertuples():
+                    tree, n = list(t.tree), t.n
+                    said = enumerate(tree[:n]) if t.said is None else ((int(x["i"]) % (1 << levels), x["h"]) for x in t.said)
+                    out = []
+                    for i, h in said:
+                        pos, base, width = i, 0, n
+                        for _ in range(levels):
+                            mate = tree[base + min(pos ^ 1, width - 1)]
+                            h = hashlib.sha256((mate + h if pos & 1 else h + mate).encode()).hexdigest()
+                            base, width, pos = base + width, -(-width // 2), pos // 2
+                        out.append((t.idx * (1 << levels) + i, bool(t.ok) and h == tree[-1]))
+                    yield pd.DataFrame(out, columns=["idx", "ok"])
+
+        return run
+
+    ship(leaves.sparkSession)
+    none = F.lit(None).cast("array<struct<i: bigint, h: string>>")
+    for k, (levels, trees) in reversed(list(enumerate(found))):
+        asked = trees.join(good, "idx")
+        if k == 0 and claims is not None:
+            once = claims.groupBy("idx").agg(F.min("h").alias("h")).select(F.expr(f"idx div {1 << levels}").alias("idx"), F.struct(F.col("idx").cast("long").alias("i"), "h").alias("c"))
+            asked = asked.join(once.groupBy("idx").agg(F.collect_list("c").alias("said")), "idx")  # at most a block's leaves
+        else:
+            asked = asked.withColumn("said", none)
+        good = asked.mapInPandas(follow(levels), "idx long, ok boolean")
+    return good
+
+
 def merkle_levels(leaves: DataFrame) -> list[DataFrame]:
     """Levels of the hash tree over (idx, h), leaves first; an unpaired last node is paired with itself.
 
@@ -147,18 +253,6 @@ def merkle_levels(leaves: DataFrame) -> list[DataFrame]:
     return out
 
 
-def merkle_check(leaves: DataFrame) -> DataFrame:
-    """idx, ok: every leaf's proof followed to the root, all leaves at once, one join a level."""
-    *levels, root = [written(x, "merkle") for x in merkle_levels(leaves)]
-    at = leaves.select("idx", F.col("idx").alias("pos"), "h")
-    for level in levels:
-        near = level.select(F.col("idx").bitwiseXOR(F.lit(1).cast("long")).alias("pos"), F.col("h").alias("sibling"))
-        both = at.join(near, "pos", "left").withColumn("sibling", F.coalesce("sibling", "h"))
-        up = F.when(F.col("pos") % 2 == 1, F.concat("sibling", "h")).otherwise(F.concat("h", "sibling"))
-        at = both.select("idx", F.expr("pos div 2").alias("pos"), F.sha2(up, 256).alias("h"))
-    return at.join(F.broadcast(root.select(F.col("h").alias("root")))).select("idx", (F.col("h") == F.col("root")).alias("ok"))
-
-
 def merkle_proof(leaves: DataFrame, idx: int) -> list[tuple[str, bool]]:
     """Siblings of a leaf upward, and whether each stands to the left; an unpaired node is its own sibling."""
     out = []

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import heapq
 import math
+import pickle
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -347,6 +349,23 @@ class Graph:
                 self.entry = i
         return self
 
+    def frozen(self) -> tuple:
+        """The graph as arrays: vectors, links end to end, their number by node and level, levels by node, entry."""
+        flat = [np.array([j for x in self.edges for e in x for j in e], np.int32), np.array([len(e) for x in self.edges for e in x], np.int32)]
+        return (self.x.astype(np.float32), *flat, np.array([len(x) for x in self.edges], np.int16), self.entry)
+
+    @classmethod
+    def thawed(cls, frozen: tuple) -> "Graph":
+        x, flat, sizes, levels, entry = frozen
+        g = cls()
+        g.x, g.entry = x.astype(np.float64), entry
+        cut = np.split(flat, np.cumsum(sizes)[:-1]) if len(sizes) else []
+        at = 0
+        for n in levels.tolist():
+            g.edges.append([e.tolist() for e in cut[at : at + n]])
+            at += n
+        return g
+
     def search(self, q: np.ndarray, k: int, ef: int) -> list[tuple[float, int]]:
         if self.entry < 0:
             return []
@@ -356,21 +375,87 @@ class Graph:
         return [(math.sqrt(d), i) for d, i in self._near(q, at, max(ef, k), 0)[:k]]
 
 
-def hnsw_search(vectors: DataFrame, queries: DataFrame, k: int, links: int = 16, width: int = 100, ef: int = 100, shards: int | None = None, seed: int = 42) -> DataFrame:
-    """One graph for each shard of ids, k rows from each, the nearest k of all. Shards (4 at least) hold about SHARD_ROWS."""
-    n = shards or max(4, vectors.count() // SHARD_ROWS + 1)
-    return in_blocks(queries, lambda q: _hnsw_block(vectors, q, k, links, width, ef, n, seed))
-
+def hnsw_build(vectors: DataFrame, metric: str = "l2", links: int = 16, width: int = 100, shards: int | None = None, seed: int = 42) -> DataFrame:
+    """shard, graph, metric: graphs over shards of ids (4 at least, about SHARD_ROWS each), built once and written.
 
-def _hnsw_block(vectors: DataFrame, queries: DataFrame, k: int, links: int, width: int, ef: int, shards: int, seed: int) -> DataFrame:
-    q = queries.orderBy("qid").toPandas()
-    qid, qm = q["qid"].tolist(), [np.array(v, np.float64) for v in q["q"]]
+    Graphs compare by L2. For cosine, vectors are normalised; for the inner product, each gets one more coordinate that
+    makes all lengths equal, so that the nearest by L2 has the greatest product.
+    """
+    n = shards or max(4, vectors.count() // SHARD_ROWS + 1)
+    far = float(vectors.agg(F.max(V.dot(F.col("embedding"), F.col("embedding")))).first()[0] or 0.0) if metric == "inner_product" else 0.0
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("vec_id")
-        g, ids = Graph(links, width, seed).build(np.array(part["embedding"].tolist(), np.float64)), part["vec_id"].tolist()
-        return pd.DataFrame([(i, ids[j], d) for i, v in zip(qid, qm, strict=True) for d, j in g.search(v, k, ef)], columns=["qid", "vec_id", "distance"])
+        x = spread(np.array(part["embedding"].tolist(), np.float64), metric, far)
+        blob = pickle.dumps((part["vec_id"].tolist(), Graph(links, width, seed).build(x).frozen()))
+        return pd.DataFrame([(int(part["s"].iloc[0]), blob, metric)], columns=["shard", "graph", "metric"])
 
     ship(vectors.sparkSession)
-    part = vectors.select("vec_id", "embedding", F.pmod(F.col("vec_id"), F.lit(shards)).alias("s")).groupBy("s").applyInPandas(lambda p: run(p), "qid long, vec_id long, distance double")
-    return top(part, ["qid"], "distance", "vec_id", k).select("qid", "vec_id", "distance", "rank")
+    dealt = vectors.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias("s")).groupBy("s")
+    return written(dealt.applyInPandas(lambda p: run(p), "shard long, graph binary, metric string"), "graphs")
+
+
+def spread(x: np.ndarray, metric: str, far: float | None = None) -> np.ndarray:
+    """Vectors in the space that a graph of this metric compares by L2; far: the greatest squared length, None for queries."""
+    if metric == "l2" or not len(x):
+        return x
+    if metric == "cosine":
+        n = np.linalg.norm(x, axis=1, keepdims=True)
+        return np.divide(x, n, out=x.copy(), where=n > 0)
+    last = np.zeros(len(x)) if far is None else np.sqrt(np.maximum(far - (x**2).sum(1), 0))
+    return np.c_[x, last]
+
+
+def hnsw_query(index: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2", ef: int = 100) -> DataFrame:
+    """The nearest k by a built index: k rows from each graph, their true distances, the best of all."""
+    return in_blocks(queries, lambda q: _graph_block(index, vectors, q, k, metric, ef))
+
+
+def _graph_block(index: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, metric: str, ef: int) -> DataFrame:
+    q = queries.orderBy("qid").toPandas()  # one block
+    qid, qm = q["qid"].tolist(), spread(np.array(q["q"].tolist(), np.float64), metric)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for blob in b["graph"]:
+                ids, frozen = pickle.loads(blob)
+                g = Graph.thawed(frozen)
+                yield pd.DataFrame([(i, ids[j]) for i, v in zip(qid, qm, strict=True) for _, j in g.search(v, k, ef)], columns=["qid", "vec_id"])
+
+    ship(index.sparkSession)
+    near = index.select("graph").repartition(max(1, min(256, index.sparkSession.sparkContext.defaultParallelism))).mapInPandas(run, "qid long, vec_id long")
+    exact = vectors.select("vec_id", "embedding").join(near, "vec_id").join(F.broadcast(queries.select("qid", "q")), "qid")
+    return top(exact.select("qid", "vec_id", V.METRICS[metric](F.col("embedding"), F.col("q")).alias("distance")), ["qid"], "distance", "vec_id", k).select("qid", "vec_id", "distance", "rank")
+
+
+def hnsw_levels(index: DataFrame) -> DataFrame:
+    """shard, level, nodes, links: nodes that reach each level of each graph, and their links there."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for shard, blob in zip(b["shard"], b["graph"], strict=True):
+                edges = Graph.thawed(pickle.loads(blob)[1]).edges
+                n = [(len(e), lv) for x in edges for lv, e in enumerate(x)]
+                yield pd.DataFrame([(shard, lv, sum(m == lv for _, m in n), sum(c for c, m in n if m == lv)) for lv in sorted({m for _, m in n})], columns=["shard", "level", "nodes", "links"])
+
+    ship(index.sparkSession)
+    return index.select("shard", "graph").mapInPandas(run, "shard long, level int, nodes long, links long")
+
+
+def ivf_pq_search(assigned: DataFrame, coded: DataFrame, queries: DataFrame, centroids: DataFrame, codebook: DataFrame, k: int, probes: int, wider: int = 10) -> DataFrame:
+    """Candidates by table distances in the probed lists alone, then exact distances of k * wider of them."""
+
+    def block(q: DataFrame) -> DataFrame:
+        probed = ivf_probe(q, centroids, probes).select("qid", "cluster_id")
+        listed = assigned.select("vec_id", "cluster_id").join(coded, "vec_id").join(F.broadcast(probed), "cluster_id")
+        d = listed.join(F.broadcast(_tables(q.select("qid", "q"), codebook).drop("q")), "qid")
+        near = top(d.select("qid", "vec_id", _table_distance().alias("distance")), ["qid"], "distance", "vec_id", k * wider).select("qid", "vec_id")
+        exact = assigned.select("vec_id", "embedding").join(near, "vec_id").join(F.broadcast(q), "qid")
+        return top(exact.select("qid", "vec_id", V.l2(F.col("embedding"), F.col("q")).alias("distance")), ["qid"], "distance", "vec_id", k).select("qid", "vec_id", "distance", "rank")
+
+    return in_blocks(queries, block)
+
+
+def hnsw_search(vectors: DataFrame, queries: DataFrame, k: int, links: int = 16, width: int = 100, ef: int = 100, shards: int | None = None, seed: int = 42) -> DataFrame:
+    """Graphs built once (L2), and searched for all blocks of queries."""
+    return hnsw_query(hnsw_build(vectors, "l2", links, width, shards, seed), vectors, queries, k, "l2", ef)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import vector as V
 from tessera.operators import detect, placement, search
+from tessera.operators.running import as_of, numbered
 from tessera.plans.session import Session
 from tessera.session import written
 from tessera.sources.tables import table
@@ -258,7 +259,10 @@ def detect_response_route(spark, sf_dir):
     return detect.route(detect.best(table(spark, sf_dir, "events"), detect.rules(spark)))
 
 
-@query()
+@query('''WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE event_type = 'error'),
+w AS (SELECT event_id, user_id, us, i, true AS fired, us AS since FROM e WHERE i = 1 UNION ALL
+SELECT e.event_id, e.user_id, e.us, e.i, e.us - w.since >= 3600000000, CASE WHEN e.us - w.since >= 3600000000 THEN e.us ELSE w.since END FROM w JOIN e ON e.user_id = w.user_id AND e.i = w.i + 1)
+SELECT event_id, user_id, us, fired FROM w''')
 def detect_cooldown(spark, sf_dir):
     e = table(spark, sf_dir, "events").where("event_type = 'error'").select("event_id", "user_id", F.expr("unix_micros(CAST(ts AS TIMESTAMP))").alias("us"))
     return placement.cooldown(e, "user_id", "us", 3_600_000_000)
@@ -330,7 +334,7 @@ def _leaves(spark, sf_dir):
 
 @query("WITH RECURSIVE m AS (SELECT event_id AS i, sha256(event_id::VARCHAR) AS h, (SELECT count(*) FROM events) AS n FROM events UNION ALL SELECT i // 2, sha256(string_agg(h, '' ORDER BY i) || CASE WHEN count(*) = 1 THEN any_value(h) ELSE '' END), (any_value(n) + 1) // 2 FROM m WHERE n > 1 GROUP BY i // 2) SELECT h AS root FROM m WHERE n = 1")
 def merkle_root(spark, sf_dir):
-    return placement.merkle_levels(_leaves(spark, sf_dir))[-1].select(F.col("h").alias("root"))
+    return placement.merkle_root(_leaves(spark, sf_dir)).select(F.col("h").alias("root"))
 
 
 @query("SELECT event_id AS idx, true AS ok FROM events")
@@ -345,11 +349,29 @@ def erasure_roundtrip(spark, sf_dir):
     return placement.erasure(shards).select("object_id", F.sha2("data", 256).alias("checksum"))
 
 
-@query()
+@query("SELECT event_id AS idx, event_id % 7 <> 3 AS ok FROM events")
+def merkle_verify_tampered(spark, sf_dir):
+    """Claims of which each seventh is wrong, against the proofs of the true leaves."""
+    leaves = _leaves(spark, sf_dir)
+    claims = leaves.select("idx", F.when(F.col("idx") % 7 == 3, F.sha2("h", 256)).otherwise(F.col("h")).alias("h"))
+    return placement.merkle_check(leaves, claims=claims)
+
+
+@query("SELECT e.event_id AS o_orderkey, arg_max(f.event_id, (f.ts, f.event_id)) AS event_id FROM events e JOIN events f ON e.user_id = f.user_id AND f.ts <= e.ts AND f.event_type = 'purchase' WHERE e.event_type = 'error' GROUP BY e.event_id")
+def ext_join_asof(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    left = e.where("event_type = 'error'").select("user_id", "ts", F.col("event_id").alias("o_orderkey"))
+    right = e.where("event_type = 'purchase'").select("user_id", "ts", "event_id")
+    return as_of(left, right, "user_id", "ts", "event_id", "event_id").where("event_id IS NOT NULL").select("o_orderkey", "event_id")
+
+
+@query('''WITH RECURSIVE e AS (SELECT user_id % 4 AS part, row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) - 1 AS off, octet_length(encode(props))::BIGINT AS size_bytes FROM events),
+w AS (SELECT part, off, size_bytes, 0::BIGINT AS segment_id, size_bytes AS used FROM e WHERE off = 0 UNION ALL
+SELECT e.part, e.off, e.size_bytes, w.segment_id + (w.used >= 4096)::BIGINT, CASE WHEN w.used >= 4096 THEN 0 ELSE w.used END + e.size_bytes FROM w JOIN e ON e.part = w.part AND e.off = w.off + 1)
+SELECT part, off, size_bytes, segment_id FROM w''')
 def log_segments(spark, sf_dir):
-    w = Window.partitionBy("part").orderBy("event_id")
     e = table(spark, sf_dir, "events").select((F.col("user_id") % 4).alias("part"), "event_id", F.octet_length("props").cast("long").alias("size_bytes"))
-    return placement.segments(e.withColumn("off", (F.row_number().over(w) - 1).cast("long")), 4096)
+    return placement.segments(numbered(e, ["part"], ["event_id"]), 4096)
 
 
 @query()

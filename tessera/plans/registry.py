@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import engine, relational
+from tessera.plans import engine, relational, systems
 
-QUERIES = relational.QUERIES | engine.QUERIES
-ORACLE = relational.ORACLE | engine.ORACLE
+QUERIES = relational.QUERIES | engine.QUERIES | systems.QUERIES
+ORACLE = relational.ORACLE | engine.ORACLE | systems.ORACLE

@@ -44,15 +44,6 @@ SAME = {
     "index_scan_all": "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey",
     "lock_compatibility": """WITH modes AS (SELECT 'S' AS m UNION ALL SELECT 'X' UNION ALL SELECT 'IS' UNION ALL SELECT 'IX' UNION ALL SELECT 'SIX')
 SELECT a.m AS held, b.m AS wanted, CASE WHEN a.m = 'X' OR b.m = 'X' THEN false WHEN a.m = 'IS' OR b.m = 'IS' THEN true WHEN a.m = 'SIX' OR b.m = 'SIX' THEN false ELSE a.m = b.m END AS compatible FROM modes a CROSS JOIN modes b""",
-    "deadlock_cycles": """WITH RECURSIVE e AS (SELECT 1 AS a, 2 AS b UNION ALL SELECT 2, 3 UNION ALL SELECT 3, 1 UNION ALL SELECT 4, 5 UNION ALL SELECT 5, 6 UNION ALL SELECT 7, 7),
-walk(a, b, hops) AS (SELECT a, b, 1 FROM e UNION ALL SELECT w.a, e.b, w.hops + 1 FROM walk w JOIN e ON w.b = e.a WHERE w.hops < 7)
-SELECT DISTINCT a AS txn FROM walk WHERE a = b""",
-    "nvlink_shortest_path": """WITH RECURSIVE links AS (SELECT 0 AS x, 1 AS y UNION ALL SELECT 1, 2 UNION ALL SELECT 2, 3 UNION ALL SELECT 0, 4 UNION ALL SELECT 4, 3 UNION ALL SELECT 6, 7),
-e AS (SELECT x AS a, y AS b FROM links UNION ALL SELECT y, x FROM links),
-walk(src, dst, hops) AS (SELECT a, a, 0 FROM (SELECT DISTINCT a FROM e) s UNION ALL SELECT w.src, e.b, w.hops + 1 FROM walk w JOIN e ON w.dst = e.a WHERE w.hops < 6)
-SELECT src, dst, min(hops) AS hops FROM walk GROUP BY src, dst""",
-    "nvlink_connected": """WITH links AS (SELECT 0 AS x, 1 AS y UNION ALL SELECT 1, 2 UNION ALL SELECT 2, 3 UNION ALL SELECT 6, 7)
-SELECT x AS gpu, y AS peer FROM links UNION SELECT y, x FROM links""",
     "ext_join_inner": "SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name",
     "ext_join_left": "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'F' GROUP BY c_custkey",
     "ext_join_right": "SELECT s_suppkey, n_name FROM nation RIGHT JOIN supplier ON s_nationkey = n_nationkey AND n_regionkey = 1",
@@ -75,87 +66,25 @@ SELECT x AS gpu, y AS peer FROM links UNION SELECT y, x FROM links""",
     "ext_cte_subquery": "WITH big AS (SELECT * FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) FROM orders)) SELECT o_orderstatus, count(*) AS n FROM big GROUP BY o_orderstatus",
     "policy_stats": "SELECT event_type AS action, count(*) AS n FROM events GROUP BY event_type",
     "audit_stats": "SELECT coalesce(event_type, 'total') AS event_type, count(*) AS n FROM events GROUP BY GROUPING SETS ((event_type), ())",
-    "cert_valid": "SELECT event_id, CASE WHEN event_id % 17 = 0 THEN 'revoked' WHEN event_id % 90 < 60 THEN 'valid' ELSE 'expired' END AS state, CAST(90 - event_id % 90 AS BIGINT) AS days_left FROM events",
     "obj_list": "SELECT source AS bucket, concat(source, '/', lang, '/', CAST(doc_id AS VARCHAR(20))) AS path FROM documents WHERE source LIKE 'src1%'",
     "gpu_healthy": "SELECT event_id AS gpu_id FROM events WHERE event_type <> 'error' AND value < 90 AND event_id % 11 <> 0",
     "numa_feasible": "SELECT numa, free FROM (SELECT user_id % 8 AS numa, CAST(sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) AS BIGINT) AS free FROM events GROUP BY user_id % 8) t WHERE free >= 4",
-    "log_assign_offsets": "SELECT event_id, user_id % 4 AS part, CAST(row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) - 1 AS BIGINT) AS off FROM events",
-    "log_fetch": "SELECT part, off, event_id FROM (SELECT event_id, user_id % 4 AS part, CAST(row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) - 1 AS BIGINT) AS off FROM events) t WHERE part = 2 AND off >= 10 AND off < 60",
-    "log_partition_stats": "SELECT user_id % 4 AS part, count(*) AS log_end, CAST(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS BIGINT) AS commits FROM events GROUP BY user_id % 4",
-    "log_hwm": """SELECT part, off, coalesce(max(CASE WHEN event_type = 'purchase' THEN off END) OVER (PARTITION BY part ORDER BY off ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), -1) AS hwm
-FROM (SELECT event_type, user_id % 4 AS part, CAST(row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) - 1 AS BIGINT) AS off FROM events) t""",
-    "log_truncate": """SELECT part, count(*) AS log_end, max(CASE WHEN event_type = 'purchase' THEN off END) AS hwm
-FROM (SELECT event_type, user_id % 4 AS part, CAST(row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) - 1 AS BIGINT) AS off FROM events) t WHERE off < 50 GROUP BY part""",
-    "log_produce_acks": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0 WHEN event_id % 3 = 1 THEN 1 ELSE -1 END AS acks, event_id % 3 <> 0 AS is_committed FROM events",
-    "group_offsets": "SELECT user_id % 5 AS grp, event_id % 4 AS part, max(event_id) AS committed FROM events GROUP BY user_id % 5, event_id % 4",
-    "group_lag": """SELECT grp, p.part, greatest(p.log_end - coalesce(c.committed, 0), 0) AS lag FROM
-(SELECT user_id % 4 AS part, count(*) AS log_end FROM events GROUP BY user_id % 4) p JOIN
-(SELECT user_id % 5 AS grp, user_id % 4 AS part, max(event_id % 2000) AS committed FROM events GROUP BY user_id % 5, user_id % 4) c ON p.part = c.part""",
-    "group_summary": "SELECT user_id % 5 AS grp, count(DISTINCT user_id) AS members, count(*) AS generation FROM events GROUP BY user_id % 5",
-    "mvcc_visible_snapshot": """SELECT o_orderkey FROM (SELECT o_orderkey, o_orderkey % 100 AS created_by, CASE WHEN o_orderkey % 7 = 0 THEN (o_orderkey + 13) % 100 ELSE 0 END AS deleted_by FROM orders) v
-WHERE created_by <= 60 AND created_by NOT IN (17, 23, 42) AND (deleted_by = 0 OR deleted_by > 60 OR deleted_by IN (17, 23, 42))""",
-    "mvcc_read_committed": """SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS BIGINT) AS rn FROM orders WHERE o_orderkey % 100 NOT IN (17, 23, 42)) t WHERE rn = 1""",
-    "wal_analysis_dpt": "SELECT event_id % 64 AS page, min(event_id) AS rec_lsn FROM events WHERE event_type IN ('click', 'view') GROUP BY event_id % 64",
     "ext_json_type": "SELECT event_type, count(*) AS n FROM events WHERE props LIKE '{%' GROUP BY event_type",
 }
 
 #: Spark text, oracle text.
 PAIRS = {
-    "wal_analysis_att": (
-        "SELECT user_id AS txn, max_by(event_type, event_id) AS last_type, max(event_id) AS last_lsn, CASE WHEN max_by(event_type, event_id) = 'purchase' THEN 'winner' ELSE 'loser' END AS fate FROM events GROUP BY user_id",
-        "SELECT user_id AS txn, arg_max(event_type, event_id) AS last_type, max(event_id) AS last_lsn, CASE WHEN arg_max(event_type, event_id) = 'purchase' THEN 'winner' ELSE 'loser' END AS fate FROM events GROUP BY user_id",
-    ),
-    "wal_replay_winners": (
-        "SELECT event_id % 64 AS page, max_by(value, event_id) AS image, max(event_id) AS lsn FROM events WHERE user_id IN (SELECT user_id FROM events GROUP BY user_id HAVING max_by(event_type, event_id) IN ('purchase', 'click')) GROUP BY event_id % 64",
-        "SELECT event_id % 64 AS page, arg_max(value, event_id) AS image, max(event_id) AS lsn FROM events WHERE user_id IN (SELECT user_id FROM events GROUP BY user_id HAVING arg_max(event_type, event_id) IN ('purchase', 'click')) GROUP BY event_id % 64",
-    ),
     "cert_current": (
         "SELECT user_id AS spiffe, max(event_id) AS cert, max_by(event_type, event_id) AS kind FROM events WHERE event_id % 17 <> 0 GROUP BY user_id",
         "SELECT user_id AS spiffe, max(event_id) AS cert, arg_max(event_type, event_id) AS kind FROM events WHERE event_id % 17 <> 0 GROUP BY user_id",
     ),
-    "group_assign_range": (
-        "SELECT c.id AS consumer, p.id AS part FROM range(0, 3) c JOIN range(0, 10) p ON p.id >= c.id * (10 div 3) + least(c.id, 10 % 3) AND p.id < (c.id + 1) * (10 div 3) + least(c.id + 1, 10 % 3)",
-        "SELECT c.range AS consumer, p.range AS part FROM range(0, 3) c JOIN range(0, 10) p ON p.range >= c.range * (10 // 3) + least(c.range, 10 % 3) AND p.range < (c.range + 1) * (10 // 3) + least(c.range + 1, 10 % 3)",
-    ),
-    "group_assign_round_robin": (
-        "SELECT id % 3 AS consumer, id AS part FROM range(0, 10)",
-        "SELECT range % 3 AS consumer, range AS part FROM range(0, 10)",
-    ),
-    "group_liveness": (
-        "SELECT user_id, unix_micros(CAST(max(ts) AS TIMESTAMP)) >= unix_micros(TIMESTAMP '2024-01-31 00:00:00') - 86400000000 AS live FROM events GROUP BY user_id",
-        "SELECT user_id, epoch_us(max(ts)) >= epoch_us(TIMESTAMP '2024-01-31 00:00:00') - 86400000000 AS live FROM events GROUP BY user_id",
-    ),
-    "log_keyed_partition": (
-        "SELECT event_id, pmod(user_id, 4) AS part, substr(sha2(concat(event_type, '|', CAST(event_id AS STRING)), 256), 1, 8) AS record_hash FROM events",
-        "SELECT event_id, user_id % 4 AS part, substr(sha256(concat(event_type, '|', CAST(event_id AS VARCHAR))), 1, 8) AS record_hash FROM events",
-    ),
-    "audit_leaf_hash": (
-        "SELECT event_id, sha2(concat(CAST(event_id AS STRING), ':', event_type, ':', CAST(user_id AS STRING)), 256) AS leaf FROM events",
-        "SELECT event_id, sha256(concat(CAST(event_id AS VARCHAR), ':', event_type, ':', CAST(user_id AS VARCHAR))) AS leaf FROM events",
-    ),
     "obj_checksum": ("SELECT doc_id, sha2(text, 256) AS checksum, base64(encode(substr(text, 1, 12), 'UTF-8')) AS head FROM documents", "SELECT doc_id, sha256(text) AS checksum, base64(encode(substr(text, 1, 12))) AS head FROM documents"),
     "obj_dedup": ("SELECT sha2(text, 256) AS checksum, count(*) AS copies, min(doc_id) AS first FROM documents GROUP BY sha2(text, 256)", "SELECT sha256(text) AS checksum, count(*) AS copies, min(doc_id) AS first FROM documents GROUP BY sha256(text)"),
-    "obj_chunk": (
-        "SELECT doc_id, CAST(i AS BIGINT) AS sequence, CAST(length(substr(text, CAST(i * 1024 + 1 AS INT), 1024)) AS BIGINT) AS size, sha2(substr(text, CAST(i * 1024 + 1 AS INT), 1024), 256) AS checksum FROM documents LATERAL VIEW explode(sequence(0, greatest(CAST(ceil(length(text) / 1024) AS INT) - 1, 0))) c AS i",
-        "SELECT doc_id, i AS sequence, length(substr(text, i * 1024 + 1, 1024)) AS size, sha256(substr(text, i * 1024 + 1, 1024)) AS checksum FROM (SELECT doc_id, text, unnest(range(0, greatest(CAST(ceil(length(text) / 1024) AS BIGINT), 1))) AS i FROM documents)",
-    ),
-    "obj_reassemble": (
-        "SELECT doc_id, sha2(array_join(transform(array_sort(collect_list(struct(i, piece))), x -> x.piece), ''), 256) AS checksum FROM (SELECT doc_id, i, substr(text, i * 1024 + 1, 1024) AS piece FROM documents LATERAL VIEW explode(sequence(0, greatest(CAST(ceil(length(text) / 1024) AS INT) - 1, 0))) c AS i) GROUP BY doc_id",
-        "SELECT doc_id, sha256(text) AS checksum FROM documents",
-    ),
-    "obj_verify": (
-        "SELECT d.doc_id, coalesce(bool_and(sha2(d.text, 256) = c.checksum), true) AS intact FROM documents d LEFT JOIN (SELECT doc_id, sha2(CASE WHEN doc_id % 10 = 3 THEN concat(text, '!') ELSE text END, 256) AS checksum FROM documents WHERE doc_id % 10 <> 4) c ON d.doc_id = c.doc_id GROUP BY d.doc_id",
-        "SELECT doc_id, doc_id % 10 <> 3 AS intact FROM documents",
-    ),
     "bucket_totals": ("SELECT source AS bucket, count(*) AS objects, sum(octet_length(text)) AS bytes FROM documents GROUP BY source", "SELECT source AS bucket, count(*) AS objects, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents GROUP BY source"),
     "ext_json": (
         "SELECT event_id, CAST(size(json_object_keys(props)) AS BIGINT) AS n_keys FROM events",
         "SELECT event_id, CAST(len(json_keys(props)) AS BIGINT) AS n_keys FROM events",
     ),
-    "ext_join_asof": (
-        "SELECT o_orderkey, max_by(event_id, struct(ts, event_id)) AS event_id FROM (SELECT e.event_id AS o_orderkey, f.event_id, f.ts FROM events e JOIN events f ON e.user_id = f.user_id AND f.ts <= e.ts AND f.event_type = 'purchase' WHERE e.event_type = 'error') GROUP BY o_orderkey",
-        "SELECT o_orderkey, arg_max(event_id, (ts, event_id)) AS event_id FROM (SELECT e.event_id AS o_orderkey, f.event_id, f.ts FROM events e JOIN events f ON e.user_id = f.user_id AND f.ts <= e.ts AND f.event_type = 'purchase' WHERE e.event_type = 'error') GROUP BY o_orderkey",
-    ),
     "baseline_stats": (
         "SELECT event_type, count(*) AS n, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS sd FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS rn FROM events) WHERE rn <= 1000 GROUP BY event_type",
         "SELECT event_type, count(*) AS n, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS sd FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS rn FROM events) WHERE rn <= 1000 GROUP BY event_type",

@@ -61,3 +61,42 @@ def baseline(spark: SparkSession, sf_dir: str, last: int = 1000) -> DataFrame:
     df = source(spark, sf_dir).select("event_type", "event_id", "value").groupBy("event_type").applyInPandasWithState(step, "event_type string, n long, mean double, sd double", "ids array<long>, vals array<double>", "update", "NoTimeout")
     out = drained(df, "baseline", "update")
     return out.groupBy("event_type").agg(F.max_by(F.struct("n", "mean", "sd"), "n").alias("s")).select("event_type", "s.n", F.round("s.mean", 6).alias("mean"), F.round("s.sd", 6).alias("sd"))
+
+
+def late_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by type where late events are dropped.
+
+    The stream is the events, then a batch that closes their windows, then copies of all events a day behind the watermark,
+    which no window takes any more. Windows of a day; what the closing batch adds is left out.
+    """
+    out = shared_path(spark, "late-source")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    end = e.agg(F.max("ts")).first()[0]
+    closing = spark.range(1).select(F.lit(-1).cast("long").alias("event_id"), F.lit("closing").alias("event_type"), (F.lit(end) + F.expr("INTERVAL 30 DAYS")).alias("ts"))
+    counted = shared_path(spark, "late-counts")
+    for batch in (e, closing, closing, e):  # the second closing batch lets the watermark of the first take effect
+        batch.coalesce(1).write.mode("append").parquet(f"{out}/here")
+        s = spark.readStream.schema(e.schema).parquet(f"{out}/here")
+        w = s.withWatermark("ts", "1 day").groupBy("event_type", F.window("ts", "1 day").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+        q = w.writeStream.outputMode("append").format("parquet").option("path", counted).option("checkpointLocation", f"{counted}-checkpoint").trigger(availableNow=True).start()
+        q.awaitTermination()
+    got = spark.read.parquet(counted).where("event_type <> 'closing'")
+    return got.groupBy("event_type").agg(F.sum("n").alias("n"))
+
+
+def cooldown(spark: SparkSession, sf_dir: str, pause: int) -> DataFrame:
+    """event_id of error events that fire: the last that fired for the user is at least `pause` microseconds before."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else None
+        fired = []
+        for t, i in sorted((t, i) for f in frames for t, i in zip(f["us"], f["event_id"], strict=True)):
+            if last is None or t - last >= pause:
+                last = int(t)
+                fired.append(i)
+        state.update((last,))
+        yield pd.DataFrame({"event_id": fired}, dtype="int64")
+
+    ship(spark)
+    e = source(spark, sf_dir).where("event_type = 'error'").select("user_id", "event_id", F.expr("unix_micros(ts)").alias("us"))
+    return drained(e.groupBy("user_id").applyInPandasWithState(step, "event_id long", "last long", "append", "NoTimeout"), "cooldown", "append")

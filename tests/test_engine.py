@@ -181,3 +181,110 @@ def test_ivf_exact_finds_all(spark, cloud):
     got = {r.search: r.recall for r in registry.QUERIES["recall_by_search"](spark, "/root/testdata/sf0.01").collect()}
     assert min(got[n] for n in ("ivf_search_exact", "ivf_kmeans_search", "pq_search_exact")) == 1.0
     assert got["hnsw_search"] >= 0.9 and got["ivf_search"] < 0.9  # the SQL of ivf_search fixes three probes
+
+
+def test_crc32_of_objects(spark):
+    import zlib
+
+    from tessera.plans import systems
+
+    sf = "/root/testdata/sf0.001"
+    text = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert all(r.crc32 == zlib.crc32(text[r.object_id]) for r in systems.obj_crc32(spark, sf).collect())
+
+
+def test_cooldown_stream_equals_batch(spark):
+    from tessera.plans import engine, systems
+
+    sf = "/root/testdata/sf0.001"
+    assert {r.event_id for r in systems.stream_cooldown(spark, sf).collect()} == {r.event_id for r in engine.detect_cooldown(spark, sf).where("fired").collect()}
+
+
+def test_running_over_hot_and_null_keys(spark):
+    from tessera.operators import running
+
+    rows = [(None if i % 5 == 0 else "hot", i, None if i % 7 == 0 else i % 11) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, i long, v long").repartition(7)
+    got = {(r.k, r.i): (r.s, r.m) for r in running.running(running.running(df, ["k"], ["i"], F.col("v"), "sum", "s"), ["k"], ["i"], F.col("v"), "max", "m").collect()}
+    total, top = {}, {}
+    for k, i, v in sorted(rows, key=lambda r: r[1]):
+        total[k] = total.get(k, 0) + (v or 0)
+        top[k] = v if top.get(k) is None else top[k] if v is None else max(top[k], v)
+        assert got[k, i] == (total[k], top[k])
+    assert running.numbered(df.limit(0), ["k"], ["i"]).count() == 0
+
+
+def test_rolling_crosses_segments(spark, monkeypatch):
+    from tessera.operators import running
+
+    monkeypatch.setattr(running, "SEGMENT", 64)
+    values = [float((i * 37) % 101) for i in range(500)]
+    df = spark.createDataFrame([("a", i, v) for i, v in enumerate(values)], "k string, i long, v double").repartition(3)
+    for r in running.rolling(df, "k", "i", "v", 50).collect():
+        w = values[max(0, r.i - 50) : r.i]
+        assert r.n == len(w)
+        if w:
+            m = sum(w) / len(w)
+            assert abs(r["mean"] - m) < 1e-9 and abs(r.sd - (sum((x - m) ** 2 for x in w) / len(w)) ** 0.5) < 1e-7
+
+
+def test_bin_packing_and_gangs_against_plain_loops(spark):
+    from tessera.operators import placement
+
+    jobs = [(i, i % 2, 1 + i * 7 % 5, 64 + i * 31 % 200) for i in range(40)]
+    nodes = [(n, n % 2, 8, 400) for n in range(12)]
+    got = {r.job_id: r.node_id for r in placement.first_fit_decreasing(spark.createDataFrame(jobs, "job_id long, pool long, cpu long, memory long"), spark.createDataFrame(nodes, "node_id long, pool long, cpu long, memory long")).collect()}
+    for pool in (0, 1):
+        free = {n: [c, m] for n, p, c, m in nodes if p == pool}
+        for j, _, c, m in sorted((x for x in jobs if x[1] == pool), key=lambda x: (-x[3], x[0])):
+            spot = next((n for n in sorted(free) if free[n][0] >= c and free[n][1] >= m), None)
+            if spot is not None:
+                free[spot][0] -= c
+                free[spot][1] -= m
+            assert got[j] == spot
+    gpus = [(g, 0, g // 4, g % 5 != 0) for g in range(16)]
+    wants = [(0, 0, 2, False), (1, 0, 4, False), (2, 0, 3, True), (3, 0, 9, True), (4, 0, 1, True)]
+    placed = {r.job_id: r.gpu_ids for r in placement.gang(spark.createDataFrame(wants, "job_id long, pool long, gpus int, cross_numa boolean"), spark.createDataFrame(gpus, "gpu_id long, pool long, numa int, healthy boolean")).collect()}
+    healthy = {g: numa for g, _, numa, ok in gpus if ok}
+    assert placed[0] is not None and len({healthy[g] for g in placed[0]}) == 1
+    used = [g for v in placed.values() if v is not None for g in v]
+    assert len(used) == len(set(used)) and set(used) <= set(healthy)
+    held = False
+    for j, _, n, _ in wants:  # the first that cannot be placed holds those behind it
+        held |= placed[j] is None
+        assert (placed[j] is None) == held and (held or len(placed[j]) == n)
+
+
+def test_collection_reopens_and_keeps_indexes(spark):
+    import pytest
+
+    from tessera.operators.collection import Collection
+
+    v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(6)], "vec_id long, embedding array<float>")
+    c = Collection.create(spark, "t", 2)
+    assert c.all().count() == 0
+    c.insert(v)
+    with pytest.raises(ValueError):
+        c.insert(v.limit(1))
+    with pytest.raises(Exception):
+        c.upsert(spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<float>"))
+    c.delete(v.where("vec_id = 2"))
+    c.upsert(spark.createDataFrame([(2, [9.0, 9.0]), (7, [7.0, 7.0])], "vec_id long, embedding array<float>"))
+    c.delete(v.where("vec_id = 3"))
+    want = {0, 1, 2, 4, 5, 7}
+    for k in (c, Collection.open(spark, c.root, 2)):
+        assert {r.vec_id for r in k.all().collect()} == want
+    c.compact()
+    again = Collection.open(spark, c.root, 2)
+    assert len(again.changes) == 1 and {r.vec_id: list(r.embedding) for r in again.get(v.where("vec_id < 3")).collect()} == {0: [0.0, 1.0], 1: [1.0, 1.0], 2: [9.0, 9.0]}
+    c.save("codes", v)
+    assert again.load("codes").count() == 6
+
+
+def test_graph_survives_freezing():
+    from tessera.operators.search import Graph
+
+    x = np.random.default_rng(1).normal(size=(300, 8)).astype(np.float32).astype(np.float64)
+    g = Graph(8, 40).build(x)
+    h = Graph.thawed(g.frozen())
+    assert all(g.search(q, 5, 40) == h.search(q, 5, 40) for q in x[:20])
