@@ -25,7 +25,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import ship
+from tessera.operators.running import running
+from tessera.session import ship, written
 
 WIDTH = 50
 K = 24
@@ -37,7 +38,9 @@ WIDE_BATCH, WIDE_BUCKET = 16 << 20, 64 << 20
 #: The rolling hash's base (odd) and its byte table's seed.
 BASE, SEED = 0x9E3779B97F4A7C55, 20240101
 WHOLE, SOME, PARTS, BITS = 0, 1, 2, 3
-MSG = "bucket long, batch int, kind int, source int, data binary"
+MSG = "bucket long, batch long, kind int, source int, data binary"
+#: A batch number is an age and a piece: pieces of one age hold rows of one id, which leave each other alone.
+PIECES = 20
 _T = np.random.default_rng(SEED).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _POWERS: list[np.ndarray] = []
 
@@ -156,7 +159,7 @@ def _spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 def _message(rows: list[tuple]) -> pa.Table:
     cols = list(zip(*rows, strict=True)) if rows else [()] * 5
-    return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "batch", "kind", "source", "data"])
+    return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "batch", "kind", "source", "data"])
 
 
 def _load(t: pa.Table, buckets: int, width: int) -> tuple[Parse, pa.Array]:
@@ -206,6 +209,7 @@ def _meet(t: pa.Table) -> pa.Table:
     sizes = np.array([len(blobs[i]) // 12 for i in order])
     trig = np.concatenate([np.frombuffer(blobs[i], np.uint32, n) for i, n in zip(order, sizes, strict=True)])
     phr = np.concatenate([np.frombuffer(blobs[i], np.uint64, n, 4 * n) for i, n in zip(order, sizes, strict=True)])
+    ages = batch[order] >> PIECES
     owner = np.repeat(np.arange(len(order)), sizes)
     index = _spread(np.zeros(len(order), np.int64), sizes)
     o = np.lexsort((owner, phr, trig))
@@ -213,10 +217,12 @@ def _meet(t: pa.Table) -> pa.Table:
     new_t = np.r_[True, tr[1:] != tr[:-1]]
     new_p = new_t | np.r_[True, ph[1:] != ph[:-1]]
     many = np.add.reduceat(new_p.astype(np.int64), np.flatnonzero(new_t))[np.cumsum(new_t) - 1] > 1
-    spread = np.maximum.reduceat(ow, np.flatnonzero(new_t)) > np.minimum.reduceat(ow, np.flatnonzero(new_t))
+    age = ages[ow]
+    spread = np.maximum.reduceat(age, np.flatnonzero(new_t)) > np.minimum.reduceat(age, np.flatnonzero(new_t))
     many &= spread[np.cumsum(new_t) - 1]  # in one batch alone: its own affair
     out = []
-    for kind, pick in ((WHOLE, ~new_p), (SOME, new_p & many)):
+    older = age > np.minimum.reduceat(age, np.flatnonzero(new_p))[np.cumsum(new_p) - 1] if len(age) else new_p
+    for kind, pick in ((WHOLE, older), (SOME, ~older & many)):
         who, what = ow[pick], ix[pick].astype(np.uint32)
         by = np.lexsort((what, who))
         who, what = who[by], what[by]
@@ -261,7 +267,7 @@ def _order(width: int):
             sizes.append(size)
             texts.append(np.frombuffer(data, np.uint8, -1, 4 + 4 * n))
             counts.append(int((size - width + 1).sum()))
-            ages.append(np.full(counts[-1], batch, np.int64))
+            ages.append(np.full(counts[-1], batch >> PIECES, np.int64))
         size, age = np.concatenate(sizes), np.concatenate(ages)
         starts = _spread(np.r_[0, np.cumsum(size)[:-1]], size - width + 1)
         gone = suffix_groups(np.concatenate(texts), starts, age, width) < age
@@ -343,23 +349,55 @@ def _third_round(buckets: int, width: int):
 
 
 def _batched(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, int, int]:
-    """key, data, batch: ranges of keys with about as many bytes each (from exact byte counts of equal key cells)."""
+    """key, data, batch: ranges of keys with about as many bytes each, from exact byte counts of equal key cells.
+
+    Cells are told in doubles, which keep the order of any longs. A cell with more than two batches' bytes (ids that crowd,
+    or one id with many rows) is cut by running byte counts of its ids, and an id that alone has so much is dealt over
+    pieces of one age, by a hash of the text.
+    """
     d = docs.select(F.col(key).cast("long").alias("key"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("data"))
-    low, high, total = d.agg(F.min("key"), F.max("key"), F.sum(F.octet_length("data").cast("long"))).first()
+    size = F.octet_length("data").cast("long")
+    low, high, total = d.agg(F.min("key"), F.max("key"), F.sum(size)).first()
     total = total or 0
     count = lambda size, many, wide: int(max(min(many, total // size), total // wide) + 1)
     batches, buckets = count(BATCH_BYTES, MANY_BATCHES, WIDE_BATCH), count(BUCKET_BYTES, MANY_BUCKETS, WIDE_BUCKET)
-    if low is None:
-        return d.withColumn("batch", F.lit(0)), 1, buckets
-    cells = int(min(high - low + 1, max(batches, min(batches, MANY_BATCHES) * CELLS)))
-    step = -(-(high - low + 1) // cells)
-    cell: Column = F.when(F.col("key").isNull(), 0).otherwise(F.floor((F.col("key") - low) / step)).cast("int")
-    got = d.groupBy(cell.alias("c")).agg(F.sum(F.octet_length("data").cast("long")).alias("n")).toArrow()  # at most `cells` rows
-    weight = np.zeros(cells)
+    target = max(total / batches, min(BATCH_BYTES, total), 1)
+    span = 0.0 if low is None else float(high) - float(low) + 1
+    cells = int(min(span, max(batches, min(batches, MANY_BATCHES) * CELLS))) if span else 0
+    step = span / max(cells, 1)
+    # cell 0: null keys
+    at = F.floor((F.col("key").cast("double") - F.lit(float(low or 0))) / F.lit(step or 1.0)).cast("int")
+    cell: Column = F.when(F.col("key").isNull(), 0).otherwise(F.least(at, F.lit(max(cells - 1, 0))) + 1)
+    got = d.groupBy(cell.alias("c")).agg(F.sum(size).alias("n")).toArrow()  # at most `cells` + 1 rows
+    weight = np.zeros(cells + 1)
     weight[np.asarray(got.column("c").combine_chunks())] = np.asarray(got.column("n").combine_chunks())
-    to = np.minimum((np.cumsum(weight) - weight) * batches / max(total, 1), batches - 1).astype(np.int64)
-    plan = F.split(F.lit(",".join(map(str, to.tolist()))), ",").cast("array<int>")
-    return d.withColumn("batch", F.get(plan, cell)), batches, buckets
+    heavy = np.flatnonzero(weight > 2 * target)
+    light = weight.copy()
+    light[heavy] = 0
+    bin_ = np.floor((np.cumsum(light) - light) / target).astype(np.int64)
+    # ages rise by cell; a heavy cell has its own, as many as its ids need
+    turn = np.zeros(cells + 1, np.int64)
+    turn[1:] = (bin_[1:] != bin_[:-1]).astype(np.int64)
+    turn[heavy] = 1
+    turn[heavy[heavy < cells] + 1] = 1
+    if not len(heavy):
+        plan = F.split(F.lit(",".join(map(str, np.cumsum(turn).tolist()))), ",").cast("array<bigint>")
+        return d.withColumn("batch", F.shiftleft(F.get(plan, cell), PIECES)), batches, buckets
+    crowd = d.withColumn("c", cell).where(F.col("c").isin(heavy.tolist()))
+    ids = crowd.groupBy("c", "key").agg(F.sum(size).alias("n"))
+    run = running(ids, ["c"], ["key"], F.col("n"), "sum", "upto")
+    # an id takes the batch in which its bytes begin; one that is a batch by itself ends its age
+    sub = F.floor((F.col("upto") - F.col("n")) / F.lit(target)).cast("long")
+    fine = written(run.select("c", "key", sub.alias("sub"), F.least(F.ceil(F.col("n") / F.lit(target)), F.lit((1 << PIECES) - 1)).cast("long").alias("pieces")), "crowded-ids")
+    most = {r["c"]: r["m"] + 1 for r in fine.groupBy("c").agg(F.max("sub").alias("m")).collect()}  # a row a heavy cell
+    turn[heavy[heavy < cells] + 1] += np.array([most[c] for c in heavy[heavy < cells].tolist()], np.int64)
+    plan = F.split(F.lit(",".join(map(str, np.cumsum(turn).tolist()))), ",").cast("array<bigint>")
+    f = fine.select(F.col("key").alias("k"), "c", "sub", "pieces")
+    both = d.withColumn("c0", cell).join(f, (F.col("c0") == F.col("c")) & F.col("key").eqNullSafe(F.col("k")), "left")
+    # a key in pieces must not share its age: ids whose bytes begin with it in one sub-batch are told apart by `alone`
+    piece = F.when(F.col("pieces") > 2, F.pmod(F.xxhash64("data"), F.col("pieces"))).otherwise(F.lit(0))
+    age = (F.get(plan, F.col("c0")) + F.coalesce("sub", F.lit(0))) * 2 + F.when(F.col("pieces") > 2, 1).otherwise(0)
+    return both.select("key", "data", (F.shiftleft(age, PIECES) + piece).alias("batch")), batches, buckets
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
