@@ -75,16 +75,27 @@ def best_entropy(s: Column, window: int = WINDOW) -> Column:
 def scan(docs: DataFrame, text: str = "text", to: str = "secret_spans") -> DataFrame:
     """docs with a column of spans: array of (start, ord, stop, kind, piece) by start, then kind.
 
-    Null text is the empty text and has no spans. Positions are code points, stop exclusive. All columns stay.
+    Null text is the empty text and has no spans. Positions are code points, stop exclusive. All columns stay (an old `to`
+    is replaced); rows that repeat each come back.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     base = F.concat(*[_spans(t, p, k, n, g) for k, p, n, g in BASE])
-    df = docs.withColumn("__base", base).withColumn("__cand", _spans(t, CANDIDATE, "entropy_text", 20, 0))
-    free = F.filter("__cand", lambda c: ~F.rlike(c["piece"], F.lit(ALLOW)) & ~F.exists("__base", lambda b: (b["start"] <= c["start"]) & (b["stop"] >= c["stop"])))
+    own = unused("found", docs.columns)
+    df = docs.withColumn(own, F.struct(base.alias("base"), _spans(t, CANDIDATE, "entropy_text", 20, 0).alias("cand")))
+    base, cand = F.col(own)["base"], F.col(own)["cand"]
+    free = F.filter(cand, lambda c: ~F.rlike(c["piece"], F.lit(ALLOW)) & ~F.exists(base, lambda b: (b["start"] <= c["start"]) & (b["stop"] >= c["stop"])))
     isx = lambda c: F.rlike(c["piece"], F.lit("^[0-9A-Fa-f-]+$"))
     high = F.filter(free, lambda c: best_entropy(c["piece"]) >= F.when(isx(c), F.lit(BITS["entropy_hex"])).otherwise(F.lit(BITS["entropy_text"])))
     named = F.transform(high, lambda c: F.struct(c["start"].alias("start"), F.when(isx(c), 3).otherwise(4).alias("ord"), c["stop"].alias("stop"), F.when(isx(c), F.lit("entropy_hex")).otherwise(F.lit("entropy_text")).alias("kind"), c["piece"].alias("piece")))
-    return df.withColumn(to, F.when(F.size("__base") + F.size("__cand") > 0, F.array_sort(F.concat(F.col("__base"), F.when(F.size("__cand") > 0, named).otherwise(F.col("__cand"))))).otherwise(F.col("__base"))).drop("__base", "__cand")
+    return df.withColumn(to, F.when(F.size(base) + F.size(cand) > 0, F.array_sort(F.concat(base, F.when(F.size(cand) > 0, named).otherwise(cand)))).otherwise(base)).drop(own)
+
+
+def unused(name: str, names: list[str]) -> str:
+    """name, made longer until no column has it."""
+    taken = {n.lower() for n in names}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def joined(spans: Column) -> Column:
@@ -94,7 +105,8 @@ def joined(spans: Column) -> Column:
 
 def redact(docs: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """docs with every span (overlaps merged) replaced by mask; texts without spans stay as they are, null included."""
-    df = scan(docs, text, "__spans")
+    own = unused("spans", docs.columns)
+    df = scan(docs, text, own)
     state = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
 
     def step(a: Column, s: Column) -> Column:
@@ -102,5 +114,5 @@ def redact(docs: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataF
         gap = F.when(fresh, F.concat(a["out"], F.substr(F.col(text), a["pos"] + 1, F.greatest(s["start"] - a["pos"], F.lit(0))), F.lit(mask))).otherwise(a["out"])
         return F.struct(F.greatest(a["pos"], s["stop"]).alias("pos"), gap.alias("out"))
 
-    masked = F.aggregate("__spans", state, step, lambda a: F.concat(a["out"], F.substr(F.col(text), a["pos"] + 1, F.length(text))))
-    return df.withColumn(text, F.when(F.size("__spans") > 0, masked).otherwise(F.col(text))).drop("__spans")
+    masked = F.aggregate(own, state, step, lambda a: F.concat(a["out"], F.substr(F.col(text), a["pos"] + 1, F.length(text))))
+    return df.withColumn(text, F.when(F.size(own) > 0, masked).otherwise(F.col(text))).drop(own)
