@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from tessera.session import ship
 
-MEMO = 400_000
+#: Bytes of words that a task keeps, counted with the objects that hold them.
+MEMO_BYTES, ENTRY_BYTES = 40 << 20, 140
 DEAD = -1
 _BUILT: dict[str, "Automaton"] = {}
 
@@ -105,14 +106,15 @@ def load(path: str) -> Automaton:
 
 
 def counts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key, n_words, n_tokens. Words are runs without white space, lower-cased.
+    """Per row: key, n_words, n_tokens. Words are runs without ASCII white space, lower-cased (U+00A0, U+3000 and
+    other blanks beyond ASCII do not part words).
 
     Null text counts as empty: 0 and 0. Whole texts are read; repeated rows each come back; other columns are ignored.
     path must name the vocabulary file on every machine.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto, memo = load(path), {}
+        auto, memo, held = load(path), {}, 0
         for b in batches:
             words, tokens = [], []
             for t in b.column(1).to_pylist():
@@ -120,12 +122,18 @@ def counts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
                 try:
                     n = sum([memo[w] for w in ws])
                 except KeyError:
-                    if len(memo) > MEMO:
+                    if held > MEMO_BYTES:
                         memo.clear()
+                        held = 0
+                    long = 0
                     for w in ws:
                         if w not in memo:
+                            if len(w) > 64:  # long words come back least: they are counted and not kept
+                                long += auto.count(w)
+                                continue
                             memo[w] = auto.count(w)
-                    n = sum([memo[w] for w in ws])
+                            held += len(w) + ENTRY_BYTES
+                    n = long + sum([memo[w] for w in ws if len(w) <= 64])
                 words.append(len(ws))
                 tokens.append(n)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], names=[key, "n_words", "n_tokens"])
