@@ -147,6 +147,16 @@ def test_entropy_matches_direct_count(spark):
     assert all(abs(r.h - direct(r.t)) < 1e-9 for r in got)
 
 
+def test_secrets_clashing_names_long_texts_and_repeats(spark):
+    long = "x " * 60_000 + "password=hunter22 " * 3
+    rows = [(1, long, "a", "b", "c"), (1, long, "a", "b", "c"), (2, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, found string, `__base` string, spans string")
+    got = secrets.scan(df).collect()
+    assert [(r.found, r["__base"], r.spans) for r in got] == [("a", "b", "c")] * 2 + [(None,) * 3]
+    assert got[0] == got[1] and len(got[0].secret_spans) == 3 and got[2].secret_spans == []
+    assert [(r.found, r["__base"], r.spans) for r in secrets.redact(df).collect()] == [("a", "b", "c")] * 2 + [(None,) * 3]
+
+
 def test_redact(spark, empty):
     df = spark.createDataFrame(rows_of(SECRET_TEXTS), DOCS)
     got = {r.doc_id: r.text for r in secrets.redact(df).collect()}
@@ -232,13 +242,13 @@ def brute_dedup(corpus, width):
         data[k] = (i, b)
         for p in range(len(b) - width + 1):
             s = b[p : p + width]
-            v = -1 if i is None else i
-            first[s] = min(first.get(s, 1 << 60), v)
+            v = -(1 << 70) if i is None else i
+            first[s] = min(first.get(s, 1 << 70), v)
     out = []
     for i, b in data.values():
         gone = np.zeros(len(b), bool)
         for p in range(len(b) - width + 1):
-            if first[b[p : p + width]] < (-1 if i is None else i):
+            if first[b[p : p + width]] < (-(1 << 70) if i is None else i):
                 gone[p : p + width] = True
         kept = np.frombuffer(b, np.uint8)[~gone].tobytes()
         turn = np.diff(np.r_[False, gone, False].astype(np.int8))
@@ -265,6 +275,23 @@ def test_prefix_free_ties_nulls(spark, empty, monkeypatch):
     assert prefixfree.dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("ids", ["wide", "outlier", "null", "one", "crowd"])
+def test_prefix_free_skewed_ids(spark, monkeypatch, ids):
+    """Ids that span all longs, crowd far from one other, are all null or all the same: right results, bounded batches."""
+    monkeypatch.setattr(prefixfree, "BATCH_BYTES", 2000)
+    monkeypatch.setattr(prefixfree, "BUCKET_BYTES", 4000)
+    rng = random.Random(3)
+    passage = words(rng, 14)
+    texts = [words(rng, rng.randint(3, 25)) + (passage if i % 3 == 0 else "") + words(rng, 5) for i in range(160)]
+    of = {"wide": lambda i: (-1) ** i * (9 * 10**18 + i), "outlier": lambda i: 10**15 if i == 7 else i, "null": lambda i: None, "one": lambda i: 5, "crowd": lambda i: 42 if i % 3 else i * 10**12}[ids]
+    rows = [(of(i), t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((str(r.doc_id), r.n_bytes, bytes(r.kept), list(r.begin)) for r in prefixfree.dedup(df).collect())
+    assert got == brute_dedup(rows, 50)
+    sizes = [r.n for r in prefixfree._batched(df, "doc_id", "text")[0].groupBy("batch").agg(F.sum(F.octet_length("data")).alias("n")).collect()]
+    assert max(sizes) <= 4 * 2000 and len(sizes) > 4
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.text("ab", max_size=90), max_size=6))
 def test_prefix_free_parse_covers_every_window(texts):
