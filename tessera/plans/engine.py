@@ -76,18 +76,11 @@ def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pairwise(name: str, f, sql: str) -> None:
-    """name: over query vector 0; name_all: over all query vectors, with qid."""
-
-    def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         v = _vectors(spark, sf_dir)
         return search.in_blocks(_queries(spark, sf_dir), lambda q: v.join(F.broadcast(q)).select("qid", "vec_id", F.round(f(F.col("embedding"), F.col("q")), 6).alias("d")))
 
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        q = _queries(spark, sf_dir).where("qid = 0")
-        return _vectors(spark, sf_dir).join(F.broadcast(q)).select("vec_id", F.round(f(F.col("embedding"), F.col("q")), 6).alias("d"))
-
-    QUERIES[name], ORACLE[name] = run, f"WITH {_Q} SELECT vec_id, round({sql}, 6) AS d FROM v, q WHERE qid = 0"
-    QUERIES[f"{name}_all"], ORACLE[f"{name}_all"] = whole, f"WITH {_Q} SELECT qid, vec_id, round({sql}, 6) AS d FROM v, q"
+    QUERIES[name], ORACLE[name] = run, f"WITH {_Q} SELECT qid, vec_id, round({sql}, 6) AS d FROM v, q"
 
 
 _pairwise("vec_l2", V.l2, "list_distance(e, q)")
@@ -139,13 +132,6 @@ def ivf_probe(spark, sf_dir):
     return search.ivf_probe(_queries(spark, sf_dir), search.label_centroids(_vectors(spark, sf_dir)), 3).select("qid", "cluster_id", "rank")
 
 
-@query(f"WITH {_Q}, {_CENT}, {_PROBE}, r AS (SELECT qid, vec_id, list_distance(e, q) AS distance, row_number() OVER (PARTITION BY qid ORDER BY list_distance(e, q), vec_id) - 1 AS rank FROM a JOIN p USING (cluster_id)) SELECT qid, vec_id, round(distance, 5) AS distance, rank FROM r WHERE rank < {TOP}")
-def ivf_search(spark, sf_dir):
-    v = _vectors(spark, sf_dir)
-    c = search.label_centroids(v)
-    return search.ivf_search(search.ivf_assign(v, c), _queries(spark, sf_dir), c, TOP, 3).withColumn("distance", F.round("distance", 5))
-
-
 @query(f"WITH {_Q}, {_CENT}, n AS (SELECT c.cluster_id, count(a.vec_id) AS n FROM c LEFT JOIN a USING (cluster_id) GROUP BY c.cluster_id) SELECT count(*) AS lists, CAST(sum((n > 0)::INT) AS BIGINT) AS used, min(n) AS least, max(n) AS most, round(avg(n), 6) AS mean FROM n")
 def ivf_stats(spark, sf_dir):
     v = _vectors(spark, sf_dir)
@@ -162,7 +148,7 @@ def ivf_kmeans_search(spark, sf_dir):
 
 
 @query(_knn_sql("l2"))
-def ivf_search_exact(spark, sf_dir):
+def ivf_search(spark, sf_dir):
     v = _vectors(spark, sf_dir)
     c = search.label_centroids(v)
     return search.ivf_search_exact(search.ivf_assign(v, c), _queries(spark, sf_dir), c, TOP, 3).withColumn("distance", F.round("distance", 5))
@@ -171,13 +157,13 @@ def ivf_search_exact(spark, sf_dir):
 @query("SELECT 1.0 AS recall")
 def recall_at_k(spark, sf_dir):
     """The least recall of the searches that prove their result (inverted file, product quantisation) against brute force."""
-    return _recalls(spark, sf_dir, "ivf_search_exact", "ivf_kmeans_search", "pq_search_exact").agg(F.min("recall").alias("recall"))
+    return _recalls(spark, sf_dir, "ivf_search", "ivf_kmeans_search", "pq_search_rerank").agg(F.min("recall").alias("recall"))
 
 
 @query()
 def recall_by_search(spark, sf_dir):
     """search, recall: of every registered inverted file, product quantisation and graph search against brute force."""
-    return _recalls(spark, sf_dir, "ivf_search", "ivf_search_exact", "ivf_kmeans_search", "pq_search_rerank", "pq_search_exact", "hnsw_search")
+    return _recalls(spark, sf_dir, "ivf_search", "ivf_kmeans_search", "pq_search_rerank", "hnsw_search")
 
 
 def _recalls(spark, sf_dir, *names: str) -> DataFrame:
@@ -207,26 +193,14 @@ def pq_decode(spark, sf_dir):
     return search.pq_decode(coded, book).select("vec_id", F.round(F.aggregate("decoded", F.lit(0.0), lambda a, x: a + x.cast("double")), 5).alias("total"))
 
 
-@query(f"WITH {_Q}, {_PQ} SELECT qid, vec_id, round(distance, 5) AS distance FROM adc WHERE qid = 0")
-def pq_adc(spark, sf_dir):
-    _, book, coded = _coded(spark, sf_dir)
-    return search.pq_adc(coded, _queries(spark, sf_dir).where("qid = 0"), book).withColumn("distance", F.round("distance", 5))
-
-
 @query(f"WITH {_Q}, {_PQ} SELECT qid, vec_id, round(distance, 5) AS distance FROM adc")
-def pq_adc_all(spark, sf_dir):
+def pq_adc(spark, sf_dir):
     _, book, coded = _coded(spark, sf_dir)
     return search.in_blocks(_queries(spark, sf_dir), lambda q: search.pq_adc(coded, q, book)).withColumn("distance", F.round("distance", 5))
 
 
-@query(f"WITH {_Q}, {_PQ}, near AS (SELECT qid, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(distance, 9), vec_id) AS rn FROM adc) WHERE rn <= 100), r AS (SELECT qid, vec_id, list_distance(e, q) AS distance, row_number() OVER (PARTITION BY qid ORDER BY list_distance(e, q), vec_id) - 1 AS rank FROM near JOIN v USING (vec_id) JOIN q USING (qid)) SELECT qid, vec_id, round(distance, 5) AS distance, rank FROM r WHERE rank < {TOP}")
-def pq_search_rerank(spark, sf_dir):
-    v, book, coded = _coded(spark, sf_dir)
-    return search.pq_search(v, coded, _queries(spark, sf_dir), book, TOP).withColumn("distance", F.round("distance", 5))
-
-
 @query(_knn_sql("l2"))
-def pq_search_exact(spark, sf_dir):
+def pq_search_rerank(spark, sf_dir):
     v = _vectors(spark, sf_dir)
     return search.pq_search_exact(v, _queries(spark, sf_dir), search.pq_train(v, PARTS, CODES), TOP).withColumn("distance", F.round("distance", 5))
 

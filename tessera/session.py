@@ -29,13 +29,16 @@ def local_session(cores: int = 8, app: str = "tessera", shuffle: int = 8) -> Spa
 def shared_root(spark: SparkSession) -> str:
     """Folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where that is unset (tests, a local session) a temporary folder is made and set.
+    Only in a local session where that is unset (tests) a temporary folder is made and set; on a cluster that is an error,
+    as executors would write to disks of their own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(root)
     return root
@@ -52,6 +55,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> None:
+    """Delete what this library wrote to the shared folder; for the end of an application, when no result is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark).rstrip('/')}/tessera")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_side(df: DataFrame, most: int = 10_000) -> DataFrame:
     """df marked for broadcast if it has at most `most` rows; else as it is, all rows kept, for Catalyst to choose."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
