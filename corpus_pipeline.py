@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, packing, secrets, simhash, toxicity, wordcopies
 from tessera.llm.queries import vocabulary
-from tessera.session import written
+from tessera.session import small_side, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Up to so many ids of documents to drop are sent to all tasks; beyond, documents are joined by shuffle.
+IDS = 500_000
 
 
 def _columns(docs: DataFrame) -> list[str]:
@@ -41,12 +43,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     docs = docs.select(*_columns(docs))
     groups = written(simhash.near_duplicates(docs), "near-groups")
-    again = groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    again = small_side(written(groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "near-again"), IDS)
     names = [F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("row")]
     once = _same(docs, again, "left_semi").groupBy("doc_id").agg(*names).select("doc_id", "row.*").select(*docs.columns)
     kept = groups.where("doc_id = component_id OR component_id IS NULL").select("doc_id").distinct()
-    left = written(_same(_same(docs, again, "left_anti").unionByName(once), kept, "left_semi"), "near-left")
-    gone = wordcopies.superfluous(left)
+    rest = written(_same(groups.select("doc_id").distinct(), kept, "left_anti"), "near-gone")  # fewer than kept: texts need no shuffle
+    left = written(_same(_same(docs, again, "left_anti").unionByName(once), small_side(rest, IDS), "left_anti"), "near-left")
+    gone = small_side(written(wordcopies.superfluous(left), "near-gone"), IDS)
     return left.join(gone, left["doc_id"] == gone["id"], "left_anti")
 
 

@@ -758,6 +758,43 @@ def test_edited_copies(spark):
     assert wordcopies.superfluous(docs.limit(0)).count() == 0
 
 
+def test_marks_rule_out_no_near_copy():
+    rng = np.random.default_rng(3)
+    for n, m, both in ((1, 1, 1), (5, 90, 0), (60, 70, 60), (64, 65, 64), (3000, 20, 7), (900, 1100, 880), (4000, 4000, 0)):
+        every = rng.integers(0, 2**63, n + m - both, dtype=np.uint64)
+        x, y = np.sort(every[:n]), np.sort(every[n - both :])
+        least = wordcopies.least_difference(wordcopies.mark(x), wordcopies.mark(y))
+        assert least == wordcopies.least_difference(wordcopies.mark(y), wordcopies.mark(x)) <= n + m - 2 * both
+        assert both or n < 10 or 9 * least > n + m
+    assert wordcopies.least_difference(wordcopies.mark(x), wordcopies.mark(x)) == 0
+
+
+def test_unlike_documents_of_one_shingle_cost_no_texts(spark, monkeypatch):
+    """Every pair of them is a candidate; their texts were joined to each pair, in the last round to all of them."""
+    phrase = min((f"p{i} a b c d" for i in range(20_000)), key=lambda t: int(wordcopies.shingles(t)[0]))
+    text = {i: " ".join(f"w{i}x{k}" for k in range(60)) + " " + phrase for i in range(50)}
+    text[50] = "z " + text[49]
+    seen, put = defaultdict(int), wordcopies.written
+
+    def counted(df, name):
+        out = put(df, name)
+        seen[name] += out.count()
+        return out
+
+    monkeypatch.setattr(wordcopies, "written", counted)
+    monkeypatch.setattr(wordcopies, "RANKED", 0)
+    docs = spark.createDataFrame(list(text.items()), "doc_id long, text string")
+    assert [r.id for r in wordcopies.superfluous(docs).collect()] == [50]
+    assert seen["copies-texts"] == 2 and seen["copies-pairs"] == 1
+
+
+def test_order_counts_a_share_of_any_table(spark, monkeypatch):
+    """A shingle of 400 in 4,000 documents is ranked however small SAMPLE is beside the table."""
+    monkeypatch.setattr(wordcopies, "SAMPLE", 5)
+    docs = spark.range(4000).selectExpr("id AS doc_id", "concat_ws(' ', 'a b c d', if(id % 10 = 0, 'e', concat('x', id))) AS text")
+    assert wordcopies._common(docs, "doc_id", "text")[0].tolist() == wordcopies.shingles("a b c d e").tolist()
+
+
 def test_pipeline_stage_cases(spark, sf):
     """Repeated ids, null ids and texts, no lang or source, very long texts."""
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
