@@ -16,6 +16,9 @@ from tessera.llm.queries import vocabulary
 from tessera.session import small_side, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Rows in an Arrow batch, unless the session sets a number of its own: Spark's 10,000 hold some 35 MB of text, several times over
+#: in the worker and in the JVM's direct memory, and neither gives it back while the executor lives.
+BATCH_ROWS = 1_000
 #: Up to so many ids of documents to drop are sent to all tasks; beyond, documents are joined by shuffle.
 IDS = 500_000
 
@@ -24,12 +27,18 @@ def _columns(docs: DataFrame) -> list[str]:
     return [c for c in COLUMNS if c in docs.columns]
 
 
+def _small_batches(spark: SparkSession) -> None:
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def _same(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), how)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is 0.3 or more go."""
+    _small_batches(spark)
     docs = docs.select(*_columns(docs))
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs, model, to="__score").where(F.col("__score") < toxicity.THRESHOLD).drop("__score")
@@ -41,6 +50,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Fingerprints (3-word shingles, 2 bits) group exact and almost exact copies; on what they leave, every pair with a
     five-word Jaccard similarity of 0.8 or more loses its larger id.
     """
+    _small_batches(spark)
     docs = docs.select(*_columns(docs))
     groups = written(simhash.near_duplicates(docs), "near-groups")
     again = small_side(written(groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "near-again"), IDS)
@@ -55,13 +65,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark window go."""
+    _small_batches(spark)
     docs = docs.select(*_columns(docs))
     found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _same(docs, found.where("n_hit > 0").select("doc_id").distinct(), "left_anti")
+    return _same(docs, small_side(written(found.where("n_hit > 0").select("doc_id").distinct(), "contaminated"), IDS), "left_anti")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked in place, and n_chars follows; documents without any stay as they are."""
+    _small_batches(spark)
     docs = docs.select(*_columns(docs))
     out = secrets.redact(docs.withColumn("__was", F.col("text")))
     if "n_chars" in docs.columns:
@@ -72,6 +84,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences."""
+    _small_batches(spark)
     return packing.pack(docs, vocabulary())
 
 

@@ -10,6 +10,7 @@ from collections import defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -795,6 +796,23 @@ def test_order_counts_a_share_of_any_table(spark, monkeypatch):
     assert wordcopies._common(docs, "doc_id", "text")[0].tolist() == wordcopies.shingles("a b c d e").tolist()
 
 
+def test_pipeline_stages_hold_small_batches(spark, sf):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = lambda: max(spark.range(5000, numPartitions=1).mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([len(b)])], ["n"]) for b in bs), "n long").toPandas()["n"])
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    try:
+        for stage in dict(corpus_pipeline.STAGES).values():
+            spark.conf.unset(name)
+            stage(spark, docs.limit(0), sf)
+            assert rows() == corpus_pipeline.BATCH_ROWS
+        spark.conf.set(name, "3000")  # a number of the session's own stays
+        corpus_pipeline.mask_secrets(spark, docs, sf)
+        assert rows() == 3000
+    finally:
+        spark.conf.unset(name)
+
+
 def test_pipeline_stage_cases(spark, sf):
     """Repeated ids, null ids and texts, no lang or source, very long texts."""
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
